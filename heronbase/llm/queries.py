@@ -7,6 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from heronbase.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronbase.llm.substring_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronbase.llm.suffix_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronbase.llm.mixing import mix
 
@@ -20,11 +32,27 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("doc", "version")
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronbase.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _nibbles(text: str, n: int) -> str:
     """DuckDB: the number that the first ``n`` hex digits of ``md5(text)`` spell."""
     return "(" + " + ".join(f"{16 ** (n - i)} * (strpos('0123456789abcdef', substr(md5({text}), {i}, 1)) - 1)" for i in range(1, n + 1)) + ")"
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+w AS (SELECT doc_id, pos, md5(string_agg(word, ' ') OVER x) AS win, count(*) OVER x AS n FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY win) AS first FROM w WHERE n = 13),
+r AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM f WHERE first < doc_id),
+k AS (SELECT p.doc_id, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.pos) AS kept FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.pos = r.pos WHERE r.pos IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP7_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -63,5 +91,11 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)
 """
 
-QUERIES = {"op7_systematic_mix": op7_systematic_mix, "op8_benchmark_decontamination": op8_benchmark_decontamination}
-SQL = {"op7_systematic_mix": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op7_systematic_mix": op7_systematic_mix,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
+}
+SQL = {"op1_substring_dedup": OP1_SQL, "op7_systematic_mix": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
