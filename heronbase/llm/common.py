@@ -74,3 +74,10 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file on this machine; every executor has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heronbase.llm.common import table
+from heronbase.llm.common import table, vocabulary
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronbase.llm.rans import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
+
+
 def op7_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronbase.llm.mixing import mix
 
@@ -94,6 +100,7 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_rans_tokens": op6_rans_tokens,
     "op7_systematic_mix": op7_systematic_mix,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
