@@ -13,6 +13,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op3_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from heronbase.llm.topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronbase.llm.common import pick
+    from heronbase.llm.toxicity import score
+
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronbase.llm.suffix_dedup import deduplicate
 
@@ -38,6 +54,17 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("doc", "version")
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from heronbase.llm.common import pick
+    from heronbase.llm.quality import score
+
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    graded = score(docs, table(spark, sf_dir, "labels"))
+    return graded.select("doc_id", "held_out", F.col("tail").alias("score"), F.col("selected").cast("int").alias("predicted"), "expected_grade", "selected")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heronbase.llm.simhash import near_duplicates
 
@@ -59,6 +86,17 @@ k AS (SELECT p.doc_id, count(*) AS n, string_agg(p.word, ' ' ORDER BY p.pos) AS
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP7_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -99,10 +137,13 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_block_topk": op3_block_topk,
+    "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_rans_tokens": op6_rans_tokens,
     "op7_systematic_mix": op7_systematic_mix,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_ordinal_quality": op9_ordinal_quality,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op7_systematic_mix": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op3_block_topk": OP3_SQL, "op7_systematic_mix": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
