@@ -13,6 +13,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heronbase.llm.pii import extract
+
+    return extract(table(spark, sf_dir, "documents"))
+
+
 def op3_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -137,6 +143,7 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_bootstrapped_pii": op2_bootstrapped_pii,
     "op3_block_topk": op3_block_topk,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,

@@ -13,8 +13,9 @@ of its own, so no task holds more than one shard and one chunk.
 Defined cases: vectors that are null, empty, or hold null or non-finite components
 neither ask nor answer; shorter vectors count as padded with zeros; a query leaves out
 every row with its own id; equal rows with another id all answer, equal ids too; ties go
-to the smaller id; a null id neither asks nor answers.  Scores are exact as long as they
-are below 2**63 in size; integers beyond 2**62 are cut there.
+to the smaller id; a null id neither asks nor answers.  Integers beyond 2**62 are cut
+there; ranks follow exact scores, and a score that a long can't hold shows as the nearest
+long.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
             rank = np.lexsort((where, -every, where == n), axis=1)[:, :k]
             scores[at], rows[at] = np.take_along_axis(every, rank, 1), np.take_along_axis(where, rank, 1)
     there = rows < n
-    return np.nonzero(there)[0], ids[rows[there]], scores[there].astype(np.int64), scored
+    return np.nonzero(there)[0], ids[rows[there]], np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in scores[there]], np.int64), scored
 
 
 def usable(vec: Column) -> Column:
