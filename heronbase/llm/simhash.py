@@ -23,11 +23,11 @@ largest and shows as null only where no other id is in the class; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronbase.llm.common import NULL_ID, doc_key, materialize, pick, small_batches
@@ -61,17 +61,20 @@ def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
     return int(sum(1 << int(i) for i in np.flatnonzero(2 * counts > total)))
 
 
-def fingerprints(docs: DataFrame, n: int = 3) -> DataFrame:
-    """``doc_id, doc, fp`` of every row; ``fp`` holds the 64 bits as a long."""
+def fingerprints(docs: DataFrame, n: int = 3, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, doc, fp`` and the columns of ``carry`` for every row; ``fp`` holds the 64 bits as a long."""
     small_batches(docs.sparkSession)
+    own = pick(docs, "doc_id", "text", *carry).select("doc_id", doc_key().alias("doc"), F.lit(0).cast("long").alias("fp"), *carry, F.col("text").cast("string").alias("text"))
+    out = own.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t or b"", n) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "doc", "fp"])
+            fps = [fingerprint(t or b"", n) for t in b.column(b.num_columns - 1).cast(pa.binary()).to_pylist()]
+            columns = b.columns[:-1]
+            columns[2] = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    own = pick(docs, "doc_id", "text").select("doc_id", doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, doc long, fp long")
+    return own.mapInArrow(run, out.schema)
 
 
 # -- trees ---------------------------------------------------------------------
@@ -235,14 +238,27 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 3, n: int = 3) -> DataFrame:
-    """Per row ``doc_id, fingerprint, component_id``."""
-    fps = materialize(fingerprints(docs, n), "fingerprints")
+def classes(fps: DataFrame, distance: int = 3) -> DataFrame:
+    """``fp, least``: for each distinct fingerprint the smallest ``doc`` that links reach."""
     # copies collapse to one row for each fingerprint and task before they are shuffled
     firsts = materialize(fps.groupBy("fp").agg(F.min("doc").alias("first")), "distinct")
     roots = connected(links(firsts.select("fp"), distance))
     of = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
-    classes = of.join(least, "root").select("fp", "least")
+    return of.join(least, "root").select("fp", "least")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 3, n: int = 3) -> DataFrame:
+    """Per row ``doc_id, fingerprint, component_id``."""
+    fps = materialize(fingerprints(docs, n), "fingerprints")
     shown = F.when(F.col("least") != NULL_ID, F.col("least"))
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), shown.alias("component_id"))
+    return fps.join(classes(fps, distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), shown.alias("component_id"))
+
+
+def representatives(docs: DataFrame, row: str, distance: int = 3, n: int = 3) -> DataFrame:
+    """The column ``row`` of one document of each class, that with the smallest id; of rows that share this id, one."""
+    fps = materialize(fingerprints(docs, n, [row]), "fingerprints")
+    first = fps.join(classes(fps.select("doc", "fp"), distance), "fp").where("doc = least")
+    # a class has several such rows only where its smallest id is repeated
+    one = Window.partitionBy("least").orderBy("fp", F.xxhash64(row))
+    return first.withColumn("nth", F.row_number().over(one)).where("nth = 1").select(row)
