@@ -28,6 +28,7 @@ from heronbase.llm.toxicity import held_out, sample
 
 BITS = 18
 ROWS = 16_384
+STEPS = 50_000
 GAP = 1e-3
 
 
@@ -88,8 +89,8 @@ class CumulativeLink:
             self.theta[k] = max(self.theta[k], self.theta[k - 1] + GAP)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, epochs: int = 4) -> tuple | None:
-    """Features, weights and thresholds; None without labels."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, steps: int = STEPS) -> tuple | None:
+    """Features, weights and thresholds; None without labels.  Passes are repeated up to ``steps`` steps, 4 passes at least and 50 at most."""
     small_batches(docs.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         if not seen:
             return
         model = CumulativeLink(max(y for _, y in seen) + 1)
-        for _ in range(epochs):
+        for _ in range(min(50, max(4, steps // len(seen)))):
             for at, y in seen:
                 model.learn(at, y)
         at = np.flatnonzero(model.w)
