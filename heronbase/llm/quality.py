@@ -3,7 +3,8 @@
 ``P(grade <= k) = logistic(threshold[k] - s)`` with one score ``s`` for all grades, the
 sum of shared hashed-text weights, and thresholds kept in order.  Features are word
 shapes, each with the share of the text's words that have it (in powers of two), the
-text's length and the variety of its words (likewise), and its words.  Training reads
+text's length and the variety of its words (likewise), the share of words that repeat the
+one before, and the words.  Training reads
 at most ``rows`` labelled documents, those with the smallest hash of their id, in one
 task; scoring reads every whole text.
 
@@ -50,11 +51,13 @@ def features(h, texts: list[bytes]) -> list[np.ndarray]:
     out = [salted(text, [np.full(len(text), 1), both & ((1 << BITS) - 1), share])]
     out.append(salted(np.arange(n), [np.full(n, 2), np.log2(per_text + 1).astype(np.int64)]))
     w, of, *_ = laid_out(h, texts, FOLD)
+    again = np.bincount(of[1:][(w[1:] == w[:-1]) & (of[1:] == of[:-1])], minlength=n) if len(w) else np.zeros(n, np.int64)
     order = np.lexsort((w, of))
     w, of = w[order], of[order]
     new = np.concatenate(([True], (w[1:] != w[:-1]) | (of[1:] != of[:-1]))) if len(w) else np.empty(0, bool)
     kinds, words = np.bincount(of[new], minlength=n), np.bincount(of, minlength=n)
     out.append(salted(np.arange(n), [np.full(n, 3), np.log2(words + 1).astype(np.int64), kinds * 16 // np.maximum(words, 1)]))
+    out.append(salted(np.arange(n), [np.full(n, 5), again * 16 // np.maximum(words, 1)]))
     out.append(salted(of[new], [np.full(int(new.sum()), 4), w[new]]))
     return distinct(np.concatenate([o for o, _ in out]), np.concatenate([f for _, f in out]), n, BITS)
 
@@ -62,7 +65,7 @@ def features(h, texts: list[bytes]) -> list[np.ndarray]:
 class CumulativeLink:
     """Weights by AdaGrad with L1, thresholds by plain gradients, put back in order after each step."""
 
-    def __init__(self, grades: int, rate: float = 0.1, l1: float = 1e-4):
+    def __init__(self, grades: int, rate: float = 0.1, l1: float = 5e-2):
         self.rate, self.l1 = rate, l1
         self.w, self.g = np.zeros(1 << BITS), np.full(1 << BITS, 1e-3)
         self.theta = np.arange(grades - 1, dtype=np.float64) - (grades - 2) / 2
