@@ -1,0 +1 @@
+"""Changes of tables."""

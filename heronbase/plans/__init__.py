@@ -1,0 +1 @@
+"""From text to plans: classification and rewriting."""

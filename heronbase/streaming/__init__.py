@@ -1,0 +1 @@
+"""Nothing yet: the dialect has no streams, tasks or pipes."""
