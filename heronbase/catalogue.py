@@ -190,6 +190,19 @@ same("correlated_subquery", "SELECT p_partkey FROM part p WHERE p_retailprice >
 same("in_subquery", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 same("pivoted", "SELECT l_returnflag, CAST(SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o, CAST(SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f FROM lineitem GROUP BY l_returnflag")
 
+dialect("pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (COUNT(l_quantity) FOR l_linestatus IN ('O' AS o, 'F' AS f))", "SELECT l_returnflag, NULLIF(COUNT(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 0) AS o, NULLIF(COUNT(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 0) AS f FROM lineitem GROUP BY l_returnflag")
+dialect("unpivot", "SELECT * FROM (SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS cust, CAST(o_orderkey % 7 AS BIGINT) AS rest FROM orders) UNPIVOT (v FOR k IN (cust, rest))", "SELECT o_orderkey, 'cust' AS k, CAST(o_custkey AS BIGINT) AS v FROM orders UNION ALL SELECT o_orderkey, 'rest', CAST(o_orderkey % 7 AS BIGINT) FROM orders")
+same("recursive_cte", "WITH RECURSIVE up(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM up WHERE n < 20) SELECT n, total FROM up")
+same("join_natural", "SELECT COUNT(*) AS n FROM (SELECT n_nationkey AS k FROM nation) a NATURAL JOIN (SELECT s_nationkey AS k FROM supplier) b")
+same("join_range", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR")
+dialect("join_asof", "SELECT e.event_id, o.event_id AS last_view FROM events e LEFT JOIN events o ON o.user_id = e.user_id AND o.event_type = 'view' AND o.ts < e.ts QUALIFY ROW_NUMBER() OVER (PARTITION BY e.event_id ORDER BY o.ts DESC, o.event_id DESC) = 1", "SELECT e.event_id, o.event_id AS last_view FROM events e LEFT JOIN events o ON o.user_id = e.user_id AND o.event_type = 'view' AND o.ts < e.ts QUALIFY ROW_NUMBER() OVER (PARTITION BY e.event_id ORDER BY o.ts DESC NULLS LAST, o.event_id DESC NULLS LAST) = 1")
+same("window_ntile", "SELECT o_orderkey, NTILE(4) OVER (ORDER BY o_totalprice, o_orderkey) AS q, ROUND(CUME_DIST() OVER (ORDER BY o_totalprice, o_orderkey), 9) AS c, ROUND(PERCENT_RANK() OVER (ORDER BY o_totalprice, o_orderkey), 9) AS p FROM orders")
+same("window_range", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY CAST(EXTRACT(day FROM ts) AS BIGINT) RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM events")
+same("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+same("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+same("agg_any_array", "SELECT n_regionkey, MIN(n_name) AS a, MAX(n_name) AS z, COUNT(DISTINCT n_name) AS n, COUNT(n_name) AS m FROM nation GROUP BY n_regionkey")
+dialect("fn_regexp", "SELECT p_partkey, REGEXP_REPLACE(p_brand, '[0-9]', 'x') AS b, SPLIT_PART(p_name, ' ', 1) AS w, REVERSE(p_brand) AS r, CAST(POSITION('#' IN p_brand) AS BIGINT) AS place FROM part", "SELECT p_partkey, REGEXP_REPLACE(p_brand, '[0-9]', 'x', 'g') AS b, SPLIT_PART(p_name, ' ', 1) AS w, REVERSE(p_brand) AS r, CAST(POSITION('#' IN p_brand) AS BIGINT) AS place FROM part")
+
 # -- bindings ---------------------------------------------------------------------------------------------------
 
 dialect("bind_numbered", "SELECT o_orderkey FROM orders WHERE o_totalprice > :1 AND o_orderstatus = :2 AND o_orderdate >= :3", "SELECT o_orderkey FROM orders WHERE o_totalprice > 150000.5 AND o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01'", {"1": {"type": "REAL", "value": "150000.5"}, "2": {"type": "TEXT", "value": "F"}, "3": {"type": "DATE", "value": "1996-01-01"}})

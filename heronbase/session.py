@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import secrets
 import tempfile
@@ -10,6 +11,7 @@ import time
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType
 
 from heronbase.bindings import arguments
 from heronbase.errors import InvalidValue, NotFound, SessionError, SqlSyntaxError, wrap
@@ -27,6 +29,9 @@ from heronbase.types import column_metadata
 PARAMETERS = {"TIMEZONE": "UTC", "TIMESTAMP_OUTPUT_FORMAT": "YYYY-MM-DD HH24:MI:SS", "CLIENT_SESSION_KEEP_ALIVE": "false", "QUERY_TAG": "", "GO_QUERY_RESULT_FORMAT": "json"}
 
 
+_KEPT = ("user", "database", "schema", "token", "master", "parameters", "id", "created_at", "last_accessed_at", "expires_at", "master_expires_at")
+
+
 @dataclass
 class Result:
     columns: list[dict]
@@ -91,6 +96,27 @@ class Engine:
         if not self.sessions.pop(token, None):
             raise SessionError("no such session")
 
+    def save_sessions(self) -> int:
+        """Keeps the live sessions beside the catalog."""
+        with self.lock:
+            kept = [{k: getattr(s, k) for k in _KEPT} for s in self.sessions.values()]
+        self.catalog.store.write(json.dumps(kept).encode(), "sessions.json")
+        return len(kept)
+
+    def load_sessions(self) -> int:
+        """Takes up kept sessions that have not expired; transactions are not among what is kept."""
+        if not self.catalog.store.exists("sessions.json"):
+            return 0
+        n = 0
+        for kept in json.loads(self.catalog.store.read("sessions.json")):
+            if kept["expires_at"] >= time.time() and kept["token"] not in self.sessions:
+                s = Session(self, kept["user"], kept["database"], kept["schema"])
+                for k in _KEPT:
+                    setattr(s, k, kept[k])
+                self.sessions[s.token] = s
+                n += 1
+        return n
+
     def cleanup(self) -> int:
         with self.lock:
             old = [t for t, s in self.sessions.items() if s.expires_at < time.time()]
@@ -163,6 +189,24 @@ class Session:
         self.view.read(table).createOrReplaceTempView(name)
         return f"`{name}`"
 
+    # -- tables without text -----------------------------------------------------------------
+
+    def create_table(self, name: str, columns: list[Column], if_not_exists: bool = False) -> None:
+        """A table of typed columns."""
+        self.view.create(self.key(name.split(".")), columns, if_not_exists)
+
+    def insert_data(self, name: str, columns: list[str], rows: list[tuple]) -> int:
+        """Appends rows in one write; values are cast to the columns' types."""
+        if not rows:
+            return 0
+        if any(len(r) != len(columns) for r in rows):
+            raise InvalidValue("every row needs a value for each column")
+        key = self.key(name.split("."))
+        kinds = {c.name.upper(): f for c, f in zip(self.view.get(key).columns, self.view.get(key).schema, strict=True)}
+        text = [[None if v is None else v if isinstance(v, (bytes, bytearray)) else str(v).lower() if isinstance(v, bool) else str(v) for v in r] for r in rows]
+        schema = ", ".join(f"`{c}` {'binary' if isinstance(kinds.get(c.upper(), None) and kinds[c.upper()].dataType, BinaryType) else 'string'}" for c in columns)
+        return self.writer.insert_rows(key, self.spark.createDataFrame([tuple(r) for r in text], schema), columns)
+
     # -- running -------------------------------------------------------------------------
 
     def _text(self, items: list[Token]) -> str:

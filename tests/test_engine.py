@@ -279,3 +279,26 @@ def test_drop_database_takes_its_children(session):
     session.execute("CREATE DATABASE d")
     with pytest.raises(NotFound):
         session.query("SELECT * FROM d.public.t")
+
+
+def test_rows_without_text(session, rows):
+    from heronbase.sources.catalog import Column
+
+    session.create_table("typed", [Column("ID", "INTEGER", primary_key=True), Column("V", "NUMBER(10,2)"), Column("B", "BOOLEAN"), Column("D", "DATE")])
+    assert session.insert_data("typed", ["id", "v", "b", "d"], [(1, 2.5, True, dt.date(2024, 1, 2)), (2, None, False, None)]) == 2
+    assert rows("SELECT * FROM typed ORDER BY id") == [(1, Decimal("2.50"), True, dt.date(2024, 1, 2)), (2, None, False, None)]
+    assert session.insert_data("typed", ["id"], []) == 0
+    with pytest.raises(InvalidValue):
+        session.insert_data("typed", ["id", "v"], [(1,)])
+
+
+def test_sessions(session, spark):
+    engine = session.engine
+    assert engine.validate(session.token) is session and engine.heartbeat(session.token) is session
+    old = session.token
+    assert engine.renew(session.master).token != old
+    assert engine.save_sessions() == 1
+    other = Engine(spark, engine.catalog.store.root)
+    assert other.load_sessions() == 1 and other.validate(session.token).user == "tester"
+    session.expires_at = 0
+    assert engine.cleanup() == 1
