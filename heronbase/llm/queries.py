@@ -103,6 +103,23 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS win FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n FROM w),
+r AS (SELECT doc_id, i, i + 200 AS e, max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c WHERE n > 1),
+g AS (SELECT doc_id, i, e, sum(CASE WHEN reach IS NULL OR i > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(e) AS b FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM s),
+t AS (
+  SELECT k.doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
 OP7_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -153,4 +170,4 @@ QUERIES = {
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op3_block_topk": OP3_SQL, "op7_systematic_mix": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op3_block_topk": OP3_SQL, "op5_suffix_array_dedup": OP5_SQL, "op7_systematic_mix": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
