@@ -37,9 +37,9 @@ from heronbase.llm.tokens import encoder
 
 BITS = 20
 LOW = np.uint64(1 << 31)
-LANES, STRIDE = 512, 64
+LANES, STRIDE = 2048, 64
 #: Tokens after which a block ends with the document at hand.
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 U64 = np.uint64
 
 
@@ -166,33 +166,42 @@ class Block:
             yield doc, own, found
 
 
-def tokenised(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
-    """``doc, ids``: each document's ids and the end id, little-endian, 32 bits each."""
+def width_of(vocabulary: str) -> str:
+    """The least kind of number that holds the vocabulary's ids."""
+    return "<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4"
+
+
+def tokenised(docs: DataFrame, vocabulary: str, end: int, width: str) -> DataFrame:
+    """``doc, ids``: each document's ids and the end id, little-endian, in ``width`` bytes each; ``counts`` of all ids in a row of its own for each task."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts, tail = encoder(vocabulary), np.array([end], "<u4").tobytes()
+        encode_texts, tail = encoder(vocabulary), np.array([end], width)
+        counts = np.zeros(max(encode_texts.size, end + 1), np.int64)
         for b in batches:
             ids = encode_texts([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype("<u4").tobytes() + tail for x in ids], pa.binary())], names=["doc", "ids"])
+            counts += np.bincount(np.concatenate(ids), minlength=len(counts)) if ids else 0
+            counts[end] += len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.append(x, tail).astype(width).tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc", "ids", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["doc", "ids", "counts"])
 
-    return pick(docs, "doc_id", "text").select(doc_key().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, ids binary")
+    return pick(docs, "doc_id", "text").select(doc_key().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, ids binary, counts binary")
 
 
 def frequencies(tokens: DataFrame) -> np.ndarray:
     """Counts of all ids; no larger than the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
+        total = None
         for b in batches:
-            own = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"))
-            if len(own) > len(counts):
-                own, counts = counts, own.astype(np.int64)
-            counts[: len(own)] += own
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["id", "n"])
-
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+            for x in b.column(0).to_pylist():
+                own = np.frombuffer(x, "<i8")
+                total = own.copy() if total is None else total + own
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+
+    rows = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r.id] = r.n
@@ -202,8 +211,9 @@ def frequencies(tokens: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2, block: int = BLOCK) -> str:
     """Tokenizes whole texts and writes the data set to ``path``."""
     spark = docs.sparkSession
-    tokens = materialize(tokenised(docs, vocabulary, end), "tokens")
-    freq = quantised(frequencies(tokens))
+    width = width_of(vocabulary)
+    tokens = materialize(tokenised(docs, vocabulary, end, width), "tokens")
+    freq, each = quantised(frequencies(tokens)), np.dtype(width).itemsize
     spark.createDataFrame([(BITS, bytearray(zlib.compress(freq.astype("<u4").tobytes())))], "bits int, frequencies binary").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)  # no larger than the vocabulary
 
@@ -215,8 +225,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2, block: int
 
         def flush() -> pa.RecordBatch:
             nonlocal number, docs, parts, held, first
-            sizes = [len(p) // 4 for p in parts]
-            body = encode(table, np.frombuffer(b"".join(parts), "<u4"), docs, sizes)
+            sizes = [len(p) // each for p in parts]
+            body = encode(table, np.frombuffer(b"".join(parts), width), docs, sizes)
             row = pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((shard, pa.int32()), (number, pa.int32()), (first, pa.int64()), (len(docs), pa.int64()), (held, pa.int64()), (body, pa.binary()))], names=["shard", "block", "first", "n_docs", "n_tokens", "body"])
             number, first = number + 1, first + held
             docs, parts, held = [], [], 0
@@ -226,14 +236,14 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 2, block: int
             for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 docs.append(doc)
                 parts.append(ids)
-                held += len(ids) // 4
+                held += len(ids) // each
                 if held >= block:
                     yield flush()
         if docs:
             yield flush()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(n, "doc").sortWithinPartitions("doc", "ids")
+    ordered = tokens.where("counts IS NULL").select("doc", "ids").repartitionByRange(n, "doc").sortWithinPartitions("doc", "ids")
     ordered.mapInArrow(run, "shard int, block int, first long, n_docs long, n_tokens long, body binary").write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 

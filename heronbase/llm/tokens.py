@@ -10,16 +10,19 @@ left to the library, whole.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
-MOST_WORDS = 500_000
+MOST_WORDS = 1_600_000
 #: Words that normalization leaves as they are but for case: ASCII and the letters of Latin-1.
 PLAIN = re.compile(r"[!-~\u00df-\u00f6\u00f8-\u00ff]+")
 #: The vocabulary's own pre-tokenization, for such words.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\[-`{-~]+")
-#: How byte-level vocabularies show bytes: printable Latin-1 as itself, the rest from U+0100 on.
-SHOWN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+#: How byte-level vocabularies show bytes: printable Latin-1 as itself, the rest from U+0100 on; spaces part pieces here.
+SHOWN = np.arange(256, dtype="<u4")
+SHOWN[[*range(33), *range(127, 161), 173]] = np.arange(256, 256 + 68)
+SHOWN[32] = 32
 
 
 class WordEncoder:
@@ -29,52 +32,73 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        (self.part,) = self.merges.encode("\xff", add_special_tokens=False).ids
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.offsets = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, self.kind)
 
-    def _add(self, words: list[bytes], ids: list[list[int]]) -> None:
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Takes in ``words`` with ``sizes`` of ``ids`` each."""
         n = len(self.index)
         while n + len(words) + 1 > len(self.offsets):
             self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         lo = self.offsets[n]
-        hi = lo + sizes.sum()
+        hi = lo + len(ids)
         while hi > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.flat[lo:hi] = [i for x in ids for i in x]
+        self.flat[lo:hi] = ids
         self.offsets[n + 1 : n + 1 + len(words)] = lo + np.cumsum(sizes)
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def _encoded(self, pieces: list[str]) -> None:
-        """Plain pieces by the vocabulary's merges alone, all in one call, parted by a byte that UTF-8 never has."""
-        for lo in range(0, len(pieces), 4096):
-            some = pieces[lo : lo + 4096]
-            line = " \xff ".join(x.encode().decode("latin-1").translate(SHOWN) for x in some) + " \xff"
-            ids = np.array(self.merges.encode(line, add_special_tokens=False).ids, np.int64)
-            ends = np.flatnonzero(ids == self.part)
-            self.pieces.update(zip(some, (x[bool(i) :].tolist() for i, x in enumerate(np.split(ids, ends)[:-1])), strict=True))
+    def _gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries ``at`` in a row, and how many each has."""
+        lo = self.offsets[at]
+        size = self.offsets[at + 1] - lo
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(lo - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces by the vocabulary's merges alone, a line of pieces at a time."""
+        lines = [pieces[lo : lo + 256] for lo in range(0, len(pieces), 256)]
+        shown = [SHOWN[np.frombuffer(b" ".join(x), np.uint8)].tobytes().decode("utf-32-le") for x in lines]
+        got = self.merges.encode_batch(shown, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.int64)
+        of = [np.array(e.word_ids, np.int64) for e in got]
+        sizes = [np.bincount(w, minlength=len(line)) for w, line in zip(of, lines, strict=True)]
+        return ids, np.concatenate(sizes) if sizes else np.empty(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        plain, other = {}, []
+        whole, parted, other = [], {}, []
         for w in words:
-            text = w.decode().lower()
-            if b"<|" not in w and PLAIN.fullmatch(text):
-                plain[w] = PIECE.findall(text)
+            if w.isalpha() and w.islower():
+                whole.append(w)
+            elif w[-1] in b",." and w[:-1].isalpha() and w.islower():
+                parted[w] = (w[:-1], w[-1:])
             else:
-                other.append(w)
-        known = self.pieces
-        self._encoded(sorted({x for own in plain.values() for x in own if x not in known}))
-        self._add([*plain], [known[own[0]] if len(own) == 1 else [i for x in own for i in known[x]] for own in plain.values()])
+                text = w.decode().lower()
+                # special tokens are the library's to find
+                if b"<|" in w or not PLAIN.fullmatch(text):
+                    other.append(w)
+                    continue
+                parts = [x.encode() for x in PIECE.findall(text)]
+                if parts == [w]:
+                    whole.append(w)
+                else:
+                    parted[w] = parts
+        known, new = self.index, dict.fromkeys(whole)
+        new.update(dict.fromkeys(x for x in chain.from_iterable(parted.values()) if x not in known))
+        self._add([*new], *self._encoded([*new]))
+        if parted:
+            at = np.fromiter(map(known.__getitem__, chain.from_iterable(parted.values())), np.int64)
+            ids, size = self._gathered(at)
+            self._add([*parted], ids, np.add.reduceat(size, np.cumsum([0, *map(len, parted.values())])[:-1]))
         if other:
-            self._add(other, [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)])
+            own = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)]
+            self._add(other, np.fromiter(chain.from_iterable(own), np.int64), np.array([*map(len, own)], np.int64))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -82,20 +106,16 @@ class WordEncoder:
             self.clear()
         # a special token's string is only one in lower case, so texts that may hold it keep theirs
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        get = self.index.get
-        at = [get(w, -1) for words in split for w in words]
-        if -1 in at:
-            every = [w for words in split for w in words]
-            self.learn(list({w for w, i in zip(every, at, strict=True) if i < 0}))
-            get = self.index.get
-            at = [get(w) for w in every]
-        at = np.array(at, np.int64)
-        lo = self.offsets[at]
-        size = self.offsets[at + 1] - lo
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(lo - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        every = list(chain.from_iterable(split))
+        at = list(map(self.index.get, every))
+        if None in at:
+            missing = [i for i, x in enumerate(at) if x is None]
+            self.learn(list({every[i] for i in missing}))
+            for i in missing:
+                at[i] = self.index[every[i]]
+        ids, size = self._gathered(np.array(at, np.int64))
         words = np.cumsum([len(x) for x in split])
-        cuts = np.concatenate(([0], ends))[words] if len(words) else []
+        cuts = np.concatenate(([0], np.cumsum(size)))[words] if len(words) else []
         return np.split(ids, cuts[:-1]) if len(texts) else []
 
 
