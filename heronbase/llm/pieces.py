@@ -12,6 +12,13 @@ different contents meet, one piece of each content is sent on with its text, to
 compared by the caller's method.  An anchor with more than ``HOT`` different contents
 (the edges of a passage that a large part of the corpus shares) is dealt anew window
 by window, each under the hash of its whole content, which no key can overload.
+
+A piece that a document holds more than once (a line repeated over and over) travels
+once, with the number of its places; they are found again where the text is at hand.
+Copies among the documents of a batch are combined before the shuffle: the earliest one
+stands for all, and the others, which it settles, are dealt at random instead of to the
+anchor's task.  So a passage that a third of all documents share sends each anchor a
+row a batch.
 """
 
 from __future__ import annotations
@@ -32,7 +39,9 @@ PLACE = np.uint64((1 << 17) - 1)
 #: Different contents that may meet under an anchor.
 HOT = 2000
 BASE = 0x9E3779B97F4A7C15
-PIECES = "doc long, ver long, start long, n int, mh long, ch long"
+PIECES = "doc long, ver long, start long, n int, reps int, mh long, ch long"
+#: ``more``: places in other documents that were combined into this row; ``known``: settled before the shuffle.
+FOUND = PIECES + ", more int, known boolean"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -151,27 +160,66 @@ def unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z) if z else b""
 
 
-def pieces(packed: DataFrame, kind: Kind) -> DataFrame:
-    """All pieces of all documents."""
+@dataclass
+class Laid:
+    """All pieces of a text, in order of their starts."""
+
+    start: np.ndarray
+    n: np.ndarray
+    mh: np.ndarray
+    ch: np.ndarray
+
+    @classmethod
+    def of(cls, h: Hasher, kind: Kind, text: bytes) -> Laid | None:
+        parts = list(cut(h, kind.symbols(h, text), kind.width, kind.gram))
+        return cls(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else None
+
+    def key(self) -> np.ndarray:
+        return mixed(self.mh) + self.ch
+
+    def like(self, starts: np.ndarray) -> np.ndarray:
+        """Places of all pieces with the content of one that begins at one of ``starts``."""
+        key = self.key()
+        return np.flatnonzero(np.isin(key, key[np.searchsorted(self.start, starts)]))
+
+
+def combined(out: list[tuple], first: bool) -> pa.RecordBatch:
+    """A batch's pieces, copies told apart from the one that stands for them."""
+    doc, ver, start, n, reps, mh, ch = (np.concatenate(x) for x in zip(*out, strict=True))
+    key = mixed(mh.view(np.uint64)) + ch.view(np.uint64)
+    order = np.lexsort((start, doc, key))
+    key, doc, ver, start, n, reps, mh, ch = (x[order] for x in (key, doc, ver, start, n, reps, mh, ch))
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    head = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    known = ~new & ((doc > doc[head][of]) | (not first))
+    more = np.zeros(len(key), np.int64)
+    more[head] = np.add.reduceat(np.where(known, reps, 0), head)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, ver, start, n, reps, mh, ch, more.astype(np.int32), known)], names=["doc", "ver", "start", "n", "reps", "mh", "ch", "more", "known"])
+
+
+def pieces(packed: DataFrame, kind: Kind, first: bool) -> DataFrame:
+    """The different pieces of all documents, each with its first place in a document and the number of its places there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(STRETCH + kind.width)
         for b in batches:
-            out = []
+            out, held = [], 0
             for doc, ver, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                for s, n, mh, ch in cut(h, kind.symbols(h, unpack(z.as_py())), kind.width, kind.gram):
-                    out.append((np.full(len(s), doc, np.int64), np.full(len(s), ver, np.int64), s.astype(np.int64), n, mh.view(np.int64), ch.view(np.int64)))
-                    if sum(len(x[0]) for x in out[-64:]) > 50_000:
-                        yield rows(out)
-                        out = []
+                own = Laid.of(h, kind, unpack(z.as_py()))
+                if own is None:
+                    continue
+                _, at, reps = np.unique(own.key(), return_index=True, return_counts=True)
+                k = len(at)
+                out.append((np.full(k, doc, np.int64), np.full(k, ver, np.int64), own.start[at].astype(np.int64), own.n[at], reps.astype(np.int32), own.mh[at].view(np.int64), own.ch[at].view(np.int64)))
+                held += k
+                if held > 200_000:
+                    yield combined(out, first)
+                    out, held = [], 0
             if out:
-                yield rows(out)
-
-    return packed.select("doc", "ver", "z").mapInArrow(run, PIECES)
-
+                yield combined(out, first)
 
-def rows(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["doc", "ver", "start", "n", "mh", "ch"])
+    return packed.select("doc", "ver", "z").mapInArrow(run, FOUND)
 
 
 def settle(found: DataFrame, first: bool) -> DataFrame:
@@ -179,41 +227,50 @@ def settle(found: DataFrame, first: bool) -> DataFrame:
 
     ``first``: only what stands in an earlier document counts; else whatever stands anywhere else.
     """
-    same, order = Window.partitionBy("mh", "ch"), Window.partitionBy("mh", "ch").orderBy("doc", "start", "ver")
-    met = Window.partitionBy("mh")
+    found = found.withColumn("at", F.when(F.col("known"), F.xxhash64("doc", "start", "mh")).otherwise(F.col("mh")))
+    met = Window.partitionBy("at", "known")
+    same = Window.partitionBy("at", "known", "ch")
     n = found.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    x = found.repartition(int(n), "mh").withColumn("nth", F.row_number().over(order)).withColumn("copies", F.count(F.lit(1)).over(same)).withColumn("lo", F.min("doc").over(same))
+    x = found.repartition(int(n), "at").withColumn("nth", F.row_number().over(same.orderBy("doc", "start", "ver")))
+    x = x.withColumn("copies", F.sum(F.col("reps") + F.col("more")).over(same)).withColumn("lo", F.min("doc").over(same))
     x = x.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(met)).withColumn("least", F.min("doc").over(met)).withColumn("most", F.max("doc").over(met))
     if first:
         whole, ask, send = "doc > lo", "doc = lo and doc > least", "kinds > 1 and doc = lo and least < most"
     else:
         whole, ask, send = "copies > 1", "copies = 1", "kinds > 1 and nth = 1"
-    x = x.select("doc", "ver", "start", "n", "mh", "ch", F.expr(whole).alias("whole"), F.expr(ask).alias("ask"), F.expr(send).alias("send"), (F.col("kinds") > HOT).alias("hot"))
+    x = x.select("doc", "ver", "start", "n", "reps", "mh", "ch", F.expr(f"known or {whole}").alias("whole"), F.expr(f"not known and {ask}").alias("ask"), F.expr(f"not known and {send}").alias("send"), (F.col("kinds") > HOT).alias("hot"))
     return x.where("whole or send")
 
 
 def with_text(packed: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
-    """``asked`` pieces with their ``text``."""
-    by_doc = asked.groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n", "mh", "ch", "ask")).alias("own"))
+    """``asked`` pieces with their ``text``, those that ask at each of their places."""
+    by_doc = asked.groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n", "reps", "mh", "ch", "ask")).alias("own"))
     near = packed.select("doc", "ver", "z").join(by_doc, ["doc", "ver"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(STRETCH + kind.width)
         for b in batches:
             for i in range(b.num_rows):
-                own = b.column(3)[i].values
-                col = {k: own.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n")}
-                texts = kind.content(h, unpack(b.column(2)[i].as_py()), col["start"], col["n"].astype(np.int64))
-                k = len(own)
+                own, text = b.column(3)[i].values, unpack(b.column(2)[i].as_py())
+                start, n, reps, mh, ch, ask = (own.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "reps", "mh", "ch", "ask"))
+                if (often := ask & (reps > 1)).any():
+                    laid = Laid.of(h, kind, text)
+                    at = laid.like(start[often])
+                    rest = ~often
+                    start, n = np.concatenate((start[rest], laid.start[at])), np.concatenate((n[rest], laid.n[at]))
+                    mh, ch = (np.concatenate((x[rest], y[at].view(np.int64))) for x, y in ((mh, laid.mh), (ch, laid.ch)))
+                    ask = np.concatenate((ask[rest], np.ones(len(at), bool)))
+                texts = kind.content(h, text, start.astype(np.int64), n.astype(np.int64))
+                k = len(start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, b.column(0)[i].as_py(), np.int64)), pa.array(np.full(k, b.column(1)[i].as_py(), np.int64)), own.field("start"), own.field("n"), own.field("mh"), own.field("ch"), own.field("ask"), pa.array(texts, pa.binary())],
-                    names=["doc", "ver", "start", "n", "mh", "ch", "ask", "text"],
+                    [pa.array(np.full(k, b.column(0)[i].as_py(), np.int64)), pa.array(np.full(k, b.column(1)[i].as_py(), np.int64)), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(np.ones(k, np.int32)), pa.array(mh), pa.array(ch), pa.array(ask), pa.array(texts, pa.binary())],
+                    names=["doc", "ver", "start", "n", "reps", "mh", "ch", "ask", "text"],
                 )
 
     return near.mapInArrow(run, PIECES + ", ask boolean, text binary")
 
 
-def dealt_anew(texts: DataFrame, kind: Kind) -> DataFrame:
+def dealt_anew(texts: DataFrame, kind: Kind, first: bool) -> DataFrame:
     """Every window of the pieces as a piece of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,26 +279,26 @@ def dealt_anew(texts: DataFrame, kind: Kind) -> DataFrame:
             out = []
             for doc, ver, start, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 for s, n, mh, ch in cut(h, kind.symbols(h, text), kind.width, kind.width):
-                    out.append((np.full(len(s), doc, np.int64), np.full(len(s), ver, np.int64), s + start, n, mh.view(np.int64), ch.view(np.int64)))
+                    out.append((np.full(len(s), doc, np.int64), np.full(len(s), ver, np.int64), s + start, n, np.ones(len(s), np.int32), mh.view(np.int64), ch.view(np.int64)))
             if out:
-                yield rows(out)
+                yield combined(out, first)
 
-    return texts.select("doc", "ver", "start", "text").mapInArrow(run, PIECES)
+    return texts.select("doc", "ver", "start", "text").mapInArrow(run, FOUND)
 
 
 def repeated(packed: DataFrame, kind: Kind, first: bool, compare: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """``doc, ver, start, n``: stretches of ``n`` windows all of which stand elsewhere too.
+    """``doc, ver, start, n, reps``: stretches of ``n`` windows all of which stand elsewhere too; with ``reps`` over 1 so do all pieces like the one at ``start``.
 
     ``compare`` gets ``doc, ver, start, n, mh, ch, ask, text`` and the number of symbols in them, and answers for the pieces that ask.
     """
-    settled = materialize(settle(pieces(packed, kind), first), "settled")
+    settled = materialize(settle(pieces(packed, kind, first), first), "settled")
     asked = F.when(F.expr("send and not hot"), F.col("n") + kind.width)
     size, hot = settled.agg(F.coalesce(F.sum(asked), F.lit(0)), F.coalesce(F.bool_or(F.expr("send and hot")), F.lit(False))).first()
     texts = with_text(packed, settled.where("send and not hot"), kind)
-    spans = settled.where("whole").select("doc", "ver", "start", "n").union(compare(texts, size).select("doc", "ver", "start", "n"))
+    spans = settled.where("whole").select("doc", "ver", "start", "n", "reps").union(compare(texts, size).select("doc", "ver", "start", "n", F.lit(1).alias("reps")))
     if hot:
-        again = dealt_anew(with_text(packed, settled.where("send and hot"), kind), kind)
-        spans = spans.union(settle(again, first).where("whole").select("doc", "ver", "start", "n"))
+        again = dealt_anew(with_text(packed, settled.where("send and hot"), kind), kind, first)
+        spans = spans.union(settle(again, first).where("whole").select("doc", "ver", "start", "n", "reps"))
     return materialize(spans, "spans")
 
 
@@ -253,21 +310,25 @@ def covered(starts: np.ndarray, ns: np.ndarray, width: int, size: int) -> np.nda
     return np.cumsum(edge[:-1]) > 0
 
 
-def applied(packed: DataFrame, spans: DataFrame, schema: str, per_text: Callable[[Hasher, bytes, np.ndarray, np.ndarray], tuple]) -> DataFrame:
+def applied(packed: DataFrame, spans: DataFrame, kind: Kind, schema: str, per_text: Callable[[Hasher, bytes, np.ndarray, np.ndarray], tuple]) -> DataFrame:
     """``per_text(hasher, text, starts, ns)`` for each document with its spans, as columns after ``doc_id``."""
-    by_doc = spans.groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n")).alias("own"))
+    by_doc = spans.groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n", "reps")).alias("own"))
     near = packed.join(by_doc, ["doc", "ver"], "left").select("id", "z", "own")
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, none = Hasher(STRETCH), np.empty(0, np.int64)
+        h, none = Hasher(STRETCH + kind.width), np.empty(0, np.int64)
         for b in batches:
             out = []
             for i in range(b.num_rows):
-                own = b.column(2)[i].values
-                at = none if own is None else own.field("start").to_numpy(zero_copy_only=False)
-                ns = none if own is None else own.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
-                out.append(per_text(h, unpack(b.column(1)[i].as_py()), at, ns))
+                own, text, at, ns = b.column(2)[i].values, unpack(b.column(1)[i].as_py()), none, none
+                if own is not None:
+                    at, ns, reps = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n", "reps"))
+                    if (often := reps > 1).any():
+                        laid = Laid.of(h, kind, text)
+                        places = laid.like(at[often])
+                        at, ns = np.concatenate((at[~often], laid.start[places])), np.concatenate((ns[~often], laid.n[places].astype(np.int64)))
+                out.append(per_text(h, text, at, ns))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x)) for x in zip(*out, strict=True))], names=["doc_id", *names])
 
     return near.mapInArrow(run, f"doc_id {dict(packed.dtypes)['id']}, {schema}")

@@ -160,7 +160,7 @@ def deduplicate(docs: DataFrame, width: int = 13, gram: int = 5) -> DataFrame:
         left = b" ".join(kept(text, hit))
         return size, int(hit.sum()), hashlib.sha256(left).hexdigest(), left.decode()
 
-    return applied(packed, spans, "n_words long, n_removed long, kept_sha256 string, kept_text string", per_text)
+    return applied(packed, spans, kind, "n_words long, n_removed long, kept_sha256 string, kept_text string", per_text)
 
 
 def against(docs: DataFrame, reference: DataFrame, width: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:

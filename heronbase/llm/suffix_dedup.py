@@ -22,13 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from heronbase.llm.induced import MEMORY, suffixes
 from heronbase.llm.pieces import Hasher, Kind, applied, covered, documents, repeated
 
 #: Bytes of pieces that a shard should hold.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 
 def repeats(texts: list[bytes], ns: np.ndarray, width: int, folder: str, memory: int = MEMORY) -> np.ndarray:
@@ -96,4 +95,4 @@ def deduplicate(docs: DataFrame, width: int = 200, gram: int = 64, shard_bytes:
         left = np.frombuffer(text, np.uint8)[~hit].tobytes()
         return len(text), int(hit.sum()), int((np.diff(np.concatenate(([0], hit.astype(np.int8)))) == 1).sum()), hashlib.sha256(left).hexdigest(), left
 
-    return applied(packed, spans, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", per_text)
+    return applied(packed, spans, kind, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", per_text)
