@@ -48,6 +48,6 @@ def wrap(error: Exception) -> EngineError:
     kind, text = type(error).__name__, str(error).split("\n")[0]
     if kind == "ParseException":
         return SqlSyntaxError(text)
-    if "TABLE_OR_VIEW_NOT_FOUND" in text or "SCHEMA_NOT_FOUND" in text or "UNRESOLVED_COLUMN" in text:
+    if "TABLE_OR_VIEW_NOT_FOUND" in text or "SCHEMA_NOT_FOUND" in text or "UNRESOLVED_COLUMN" in text or "REQUIRES_SINGLE_PART_NAMESPACE" in text:
         return NotFound(text)
     return EngineError(text)

@@ -286,6 +286,8 @@ class Session:
 
     def _query(self, items: list[Token]) -> DataFrame:
         first = items[0].up
+        if [t.up for t in items[:2]] in (["SELECT"], ["SELECT", "FROM"]):
+            raise SqlSyntaxError("SELECT needs columns")
         if first == "SHOW":
             return self._show(items)
         if first in ("DESCRIBE", "DESC"):
