@@ -238,8 +238,8 @@ class Loader:
         if f.skip_header <= 1:
             df = reader.option("header", f.skip_header == 1).option("enforceSchema", True).csv(paths)
         else:  # a file's first records: whole lines are dropped before parsing
-            lines = self.spark.read.option("wholetext", True).text(paths).select(F.slice(F.split("value", "\r?\n"), f.skip_header + 1, 1 << 30).alias("lines"))
-            lines = lines.select(F.explode("lines").alias("value")).where("value <> ''")
+            whole = self.spark.read.option("wholetext", True).text(paths)
+            lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).where((F.col("at") >= f.skip_header) & (F.col("value") != "")).select("value")
             options = {"sep": f.field_delimiter[:1], "columnNameOfCorruptRecord": "__bad", "escape": '"'}
             df = lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
         kinds = [x.dataType for x in table.schema]
