@@ -239,13 +239,13 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """``fp, least``: for each distinct fingerprint the smallest ``doc`` that links reach."""
+    """``fp, root, least``: for each distinct fingerprint its class and the smallest ``doc`` that links reach; classes may share a ``least``, but no ``root``."""
     # copies collapse to one row for each fingerprint and task before they are shuffled
     firsts = materialize(fps.groupBy("fp").agg(F.min("doc").alias("first")), "distinct")
     roots = connected(links(firsts.select("fp"), distance))
     of = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("least"))
-    return of.join(least, "root").select("fp", "least")
+    return of.join(least, "root").select("fp", "root", "least")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, n: int = 3) -> DataFrame:
@@ -259,6 +259,6 @@ def representatives(docs: DataFrame, row: str, distance: int = 3, n: int = 3) ->
     """The column ``row`` of one document of each class, that with the smallest id; of rows that share this id, one."""
     fps = materialize(fingerprints(docs, n, [row]), "fingerprints")
     first = fps.join(classes(fps.select("doc", "fp"), distance), "fp").where("doc = least")
-    # a class has several such rows only where its smallest id is repeated
-    one = Window.partitionBy("least").orderBy("fp", F.xxhash64(row))
+    # a class has several such rows only where its smallest id is repeated; other classes may have that id too
+    one = Window.partitionBy("root").orderBy("fp", F.xxhash64(row))
     return first.withColumn("nth", F.row_number().over(one)).where("nth = 1").select(row)

@@ -50,6 +50,13 @@ def test_near_duplicates(make, words):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(x or -1 for x in least.values()) and "fp" in kept.columns
 
 
+def test_classes_that_share_an_id_keep_their_own_document(make, words):
+    a, b, c, d = (" ".join(words(s, 80, 5000)) for s in range(4))
+    docs = [(5, a), (9, a), (5, b), (8, b), (None, c), (None, c), (None, d)]
+    kept = simhash.representatives(make(docs).select("doc_id", "text", F.struct("*").alias("row")), "row").select("row.*")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, a), (5, b), (None, c), (None, d)], key=repr)
+
+
 @pytest.mark.parametrize("parts, shard", [(1, 50), (2, 40), (4, 10_000)])
 def test_links_across_shards(spark, parts, shard):
     r = random.Random(parts)
