@@ -129,7 +129,7 @@ dialect("fn_to_variant", "SELECT event_id, TO_JSON(TO_VARIANT(user_id)) AS v FRO
 dialect("fn_parse_json", "SELECT event_id, PARSE_JSON(props):k::BIGINT AS k FROM events", "SELECT event_id, CAST(CAST(props AS JSON)->>'k' AS BIGINT) AS k FROM events")
 dialect("fn_object_construct", "SELECT n_nationkey, OBJECT_CONSTRUCT('key', n_nationkey, 'name', NULLIF(n_name, 'FRANCE')) AS o FROM nation", "SELECT n_nationkey, CAST(json_object('key', n_nationkey, 'name', NULLIF(n_name, 'FRANCE')) AS VARCHAR) AS o FROM nation")
 dialect("fn_flatten", "SELECT label, ROUND(SUM(CAST(x AS DOUBLE)), 3) AS total, COUNT(*) AS n FROM (SELECT label, FLATTEN(embedding) AS x FROM embeddings) GROUP BY label", "SELECT label, ROUND(SUM(CAST(x AS DOUBLE)), 3) AS total, COUNT(*) AS n FROM (SELECT label, UNNEST(embedding) AS x FROM embeddings) GROUP BY label")
-dialect("fn_table_flatten", "SELECT e.vec_id, f.index AS i, ROUND(f.value::DOUBLE, 5) AS x FROM embeddings e, TABLE(FLATTEN(input => e.embedding)) f WHERE e.vec_id < 50", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, ROUND(CAST(UNNEST(embedding) AS DOUBLE), 5) AS x FROM embeddings WHERE vec_id < 50")
+dialect("fn_table_flatten", "SELECT e.vec_id, f.index AS i, ROUND(f.value::DOUBLE, 5) AS x FROM embeddings e, TABLE(FLATTEN(input => e.embedding)) f", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, ROUND(CAST(UNNEST(embedding) AS DOUBLE), 5) AS x FROM embeddings")
 dialect("fn_concat", "SELECT c_custkey, CONCAT(c_name, ' <', NULLIF(c_mktsegment, 'BUILDING'), '>') AS label FROM customer", "SELECT c_custkey, CONCAT(c_name, ' <', NULLIF(c_mktsegment, 'BUILDING'), '>') AS label FROM customer")
 same("fn_string", "SELECT p_partkey, LENGTH(p_name) AS n, SUBSTR(p_name, 2, 3) AS s, UPPER(p_type) AS u, LOWER(p_brand) AS l, REPLACE(p_brand, '#', '-') AS r, TRIM(p_name) AS t, LPAD(p_brand, 12, '*') AS pad FROM part")
 same("fn_substr_zero", "SELECT p_partkey, SUBSTR(p_name, 0, 3) AS s FROM part")

@@ -43,6 +43,12 @@ def test_query(spark, oracle, name):
     assert rows == sorted((tuple(plain(r[i]) for i in order) for r in want.fetchall()), key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir(HERE), reason="no test tables")
+def test_table_flatten_reads_every_vector(spark, oracle):
+    got = catalogue.QUERIES["fn_table_flatten"](spark, HERE).select("vec_id").distinct().count()
+    assert got == len(oracle.sql("SELECT DISTINCT vec_id FROM embeddings").fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
