@@ -162,7 +162,7 @@ dialect("join_left_filter", "SELECT c.c_custkey, NVL(c.c_name, 'x') AS name, ROU
 dialect("join_expr", "SELECT COUNT(*) AS n FROM customer c JOIN supplier s ON NVL(c.c_nationkey, -1) = NVL(s.s_nationkey, -2)", "SELECT COUNT(*) AS n FROM customer c JOIN supplier s ON COALESCE(c.c_nationkey, -1) = COALESCE(s.s_nationkey, -2)")
 same("join_right", "SELECT n.n_name, r.r_regionkey FROM (SELECT * FROM nation WHERE n_nationkey < 8) n RIGHT JOIN region r ON n.n_regionkey = r.r_regionkey")
 same("join_full", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM (SELECT * FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT * FROM nation WHERE n_nationkey > 10) b ON a.n_nationkey = b.n_nationkey")
-same("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN (SELECT * FROM nation WHERE n_nationkey < 3) n")
+same("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
 same("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
 same("join_using", "SELECT n_nationkey, COUNT(*) AS n FROM (SELECT n_nationkey FROM nation) a JOIN (SELECT s_nationkey AS n_nationkey FROM supplier) b USING (n_nationkey) GROUP BY n_nationkey")
 same("join_semi", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
@@ -174,7 +174,7 @@ same("window_rank", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custke
 same("window_frame", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, LAG(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev, FIRST_VALUE(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first FROM events")
 same("window_qualify", "SELECT o_custkey, o_orderkey FROM orders QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
 same("window_qualify_alias", "SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders QUALIFY rn <= 2")
-same("sort_nulls_last", "SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg FROM customer ORDER BY seg, c_custkey LIMIT 50")
+same("sort_nulls_last", "SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg FROM customer ORDER BY seg, c_custkey")
 same("sort_limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
 same("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")
 dialect("limit_zero", "SELECT * FROM orders LIMIT 0", "SELECT * FROM orders LIMIT 0")

@@ -49,6 +49,18 @@ def test_table_flatten_reads_every_vector(spark, oracle):
     assert got == len(oracle.sql("SELECT DISTINCT vec_id FROM embeddings").fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(HERE), reason="no test tables")
+def test_sort_puts_every_null_row_last(spark, oracle):
+    got = [r.seg is None for r in catalogue.QUERIES["sort_nulls_last"](spark, HERE).collect()]
+    assert any(got) and got == sorted(got)
+    assert len(got) == len(oracle.sql("SELECT * FROM customer").fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(HERE), reason="no test tables")
+def test_cross_join_pairs_every_nation(spark, oracle):
+    assert catalogue.QUERIES["join_cross"](spark, HERE).count() == len(oracle.sql("SELECT 1 FROM region, nation").fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
