@@ -5,7 +5,10 @@ window).  Collection frequencies of the test terms order each window's terms fro
 rarest to most frequent; the index stores the postings (term, document, position,
 words around) of those terms alone that are among a window's ``probes`` rarest.
 A phrase match is the intersection of offset-adjusted postings, rarest terms
-first, then the exact comparison with the words stored around the rarest term.
+first, then the exact comparison with the words stored around the rarest term.  A
+proximity match is a stretch of the window's length and ``slop`` more words that holds
+all of the window's words in any order; it holds the rarest one, so the words stored
+around that one decide.
 
 DataFrame functions only.  Test vocabularies are broadcast when counted and found
 below ``BROADCAST_ROWS``; beyond that Spark joins by shuffling.
@@ -69,9 +72,13 @@ def index(docs: DataFrame, terms: DataFrame, around: int) -> DataFrame:
     base = docs.select(F.col("doc_id").alias("id"), doc_key().alias("doc"), F.xxhash64("text").alias("version"), F.concat(words_of("text"), F.array(F.lit(END))).alias("words"))
     every = base.select("id", "doc", "version", "words", F.posexplode("words").alias("pos", "term"))
     lead = F.least("pos", F.lit(around))
-    found = every.join(small(wanted), "term")
-    context = F.when(F.col("term") != END, F.slice("words", F.col("pos") - lead + 1, lead + around + 1))
-    return materialize(found.select("id", "doc", "version", "term", "pos", lead.alias("lead"), context.alias("context")), "postings")
+    context = F.when(F.col("term") != END, F.slice("words", F.col("pos") - lead + 1, lead + around + 1)).alias("context")
+    kept = ["id", "doc", "version", "term", "pos", lead.alias("lead")]
+    if wanted.count() <= BROADCAST_ROWS:
+        found = every.join(F.broadcast(wanted), "term").select(*kept, context)
+    else:  # words that are shuffled carry their own surroundings, not the document
+        found = every.select(*kept, context).join(wanted, "term")
+    return materialize(found, "postings")
 
 
 def phrases(postings: DataFrame, wins: DataFrame, probes: DataFrame) -> DataFrame:
@@ -90,15 +97,14 @@ def phrases(postings: DataFrame, wins: DataFrame, probes: DataFrame) -> DataFram
     return both.where(same).select("doc", "version", "start", F.size("words").alias("len"), "window_id")
 
 
-def proximity(postings: DataFrame, probes: DataFrame, slop: int) -> DataFrame:
-    """Places ``doc, version, window_id, start`` where all of a window's probe terms stand within ``slop`` words of their offsets from the rarest."""
-    at = postings.join(small(probes), "term").select("doc", "version", "window_id", "rank", (F.col("pos") - F.col("off")).alias("start"))
-    need = probes.groupBy("window_id").agg(F.count(F.lit(1)).alias("need"))
-    cell = lambda c: F.floor(c / F.lit(slop + 1))
-    first = at.where("rank = 1").select("doc", "version", "window_id", F.col("start").alias("first"), F.explode(F.array(*[cell(F.col("start")) + i for i in (-1, 0, 1)])).alias("cell"))
-    near = at.withColumn("cell", cell(F.col("start"))).join(first, ["doc", "version", "window_id", "cell"]).where(F.abs(F.col("start") - F.col("first")) <= slop)
-    met = near.groupBy("doc", "version", "window_id", "first").agg(F.count_distinct("rank").alias("have")).join(need, "window_id")
-    return met.where("have = need").select("doc", "version", "window_id", F.col("first").alias("start"))
+def proximity(postings: DataFrame, wins: DataFrame, probes: DataFrame, slop: int) -> DataFrame:
+    """``doc, version, window_id`` where all words of the window stand, in any order, within its length and ``slop`` more consecutive words; ``postings`` hold as many words around, less one."""
+    at = postings.join(small(probes.where("rank = 1").select("window_id", "term")), "term").join(small(wins.select("window_id", F.col("words").alias("wanted"))), "window_id")
+    missing = lambda words: F.size(F.array_except("wanted", words)) > 0
+    long = F.size("wanted") + slop
+    starts = F.sequence(F.greatest(F.lit(1), F.col("lead") + 2 - long), F.col("lead") + 1)
+    within = F.exists(starts, lambda s: ~missing(F.slice("context", s, long)))
+    return at.where(~missing(F.col("context"))).where(within).select("doc", "version", "window_id").distinct()
 
 
 def covered(hits: DataFrame) -> DataFrame:
@@ -110,24 +116,32 @@ def covered(hits: DataFrame) -> DataFrame:
     return spans.withColumn("reach", reach).groupBy("doc", "version").agg(F.sum(new).cast("long").alias("n_hit"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = 13, probes: int = 2, share: float = 0.05) -> DataFrame:
-    """Per document ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the join keys ``doc, version``."""
+def contamination(docs: DataFrame, items: DataFrame, n: int = 13, probes: int = 2, share: float = 0.05, slop: int = 3) -> DataFrame:
+    """Per document ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and the join keys ``doc, version``.
+
+    ``whole_window`` tells whether a window of all ``n`` words occurs, ``n_near`` counts the items with a proximity match.
+    """
     docs = pick(docs, "doc_id", "text")
     items = pick(items, "item_id", "text").where(F.col("item_id").isNotNull())
     wins = materialize(windows(items, n), "windows")
     freq = frequencies(docs, wins.select(F.explode("words").alias("term")).distinct())
     asked = materialize(probes_of(wins, freq, probes), "probes")
-    postings = index(docs, asked, n)
-    hits = materialize(phrases(postings.where(F.col("term") != END), wins, asked), "hits")
+    postings = index(docs, asked, n + slop - 1)
+    terms = postings.where(F.col("term") != END)
+    hits = materialize(phrases(terms, wins, asked), "hits")
+    near = proximity(terms, wins, asked, slop).join(small(wins.select("window_id", "item_ids")), "window_id")
+    near = near.select("doc", "version", F.explode("item_ids").alias("item")).groupBy("doc", "version").agg(F.count_distinct("item").alias("n_near"))
+    whole = hits.groupBy("doc", "version").agg(F.bool_or(F.col("len") >= n).alias("whole_window"))
     by_item = hits.select("doc", "version", "window_id").distinct().join(small(wins.select("window_id", "item_ids")), "window_id")
     by_item = by_item.select("doc", "version", F.explode("item_ids").alias("item")).withColumn("item", F.col("item").cast("string")).distinct()
     by_item = by_item.groupBy("doc", "version").agg(F.count(F.lit(1)).alias("n_items"), F.concat_ws(",", F.array_sort(F.collect_list("item"))).alias("items"))
-    found = covered(hits).join(by_item, ["doc", "version"])
+    found = near.join(covered(hits).join(by_item, ["doc", "version"]).join(whole, ["doc", "version"]), ["doc", "version"], "left")  # whatever is exact is near
     lengths = postings.where(F.col("term") == END).select("id", "doc", "version", F.col("pos").cast("long").alias("n_words"))
     out = lengths.join(found, ["doc", "version"], "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
     return out.select(
         F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * F.lit(round(1 / share)) >= F.col("n_words"))).alias("contaminated"), "doc", "version",
+        ((n_hit > 0) & (n_hit * F.lit(round(1 / share)) >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("whole_window", F.lit(False)).alias("whole_window"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "doc", "version",
     )

@@ -151,11 +151,20 @@ w AS (
 p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
 f AS (SELECT doc_id, pos, word, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS ahead FROM p),
 h AS (SELECT f.doc_id, f.pos, w.item_id, len(w.words) AS n FROM f JOIN w ON f.word = w.words[1] WHERE f.ahead[1 : len(w.words)] = w.words),
-c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS k FROM h) GROUP BY doc_id),
-j AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit, max(n) >= 13 AS whole_window FROM (SELECT doc_id, n, unnest(range(pos, pos + n)) AS k FROM h) GROUP BY doc_id),
+rare AS (
+  SELECT item_id, words, arg_min(x.word, cf) AS word FROM (SELECT item_id, words, unnest(words) AS word FROM w) x JOIN (SELECT word, count(*) AS cf FROM p GROUP BY word) y ON x.word = y.word
+  GROUP BY item_id, words
+), near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT p.doc_id, item_id, rare.words AS words, least(pos - 1, 15) AS lead, d.words[greatest(pos - 15, 1) : pos + 15] AS around FROM p JOIN rare ON p.word = rare.word JOIN d ON p.doc_id = d.doc_id
+  ) WHERE list_has_all(around, words) AND len(list_filter(range(greatest(1, lead - 1 - len(words)), lead + 2), lambda s: list_has_all(around[s : s + len(words) + 2], words))) > 0
+  GROUP BY doc_id
+), j AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.words) AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.words) AS contaminated,
+       coalesce(whole_window, false) AS whole_window, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN j USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 QUERIES = {

@@ -120,7 +120,7 @@ def test_search(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
-def brute_hits(docs, items, n=13):
+def brute_hits(docs, items, n=13, slop=3):
     import re
 
     table = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -132,14 +132,18 @@ def brute_hits(docs, items, n=13):
             windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
     out = []
     for doc, text in docs:
-        w, hit, found = split(text), set(), set()
+        w, hit, found, near, whole = split(text), set(), set(), set(), False
         for i in range(len(w)):
             for size in {len(x) for x in windows}:
                 if own := windows.get(tuple(w[i : i + size])):
                     if i + size <= len(w):
                         hit.update(range(i, i + size))
                         found |= own
-        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                        whole |= size >= n
+        for x, own in windows.items():
+            if set(x) <= set(w) and any(set(x) <= set(w[i : i + len(x) + slop]) for i in range(len(w))):
+                near |= own
+        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), whole, len(near)))
     return out
 
 
@@ -167,12 +171,11 @@ def test_without_broadcasts(spark, make, words, monkeypatch):
 
 
 def test_proximity(spark, make):
-    docs, items = make(["alpha beta gamma delta", "alpha x beta gamma x delta", "delta alpha", "alpha " + "x " * 9 + "delta"]), benchmark(spark, [(1, "alpha beta gamma delta")])
-    wins = decontam.windows(items, 13)
-    asked = decontam.probes_of(wins, decontam.frequencies(docs, wins.select(F.explode("words").alias("term")).distinct()), 4)
-    postings = decontam.index(docs, asked, 13)
-    near = decontam.proximity(postings.where(F.col("term") != decontam.END), asked, 2)
-    assert sorted(r.doc for r in near.collect()) == [0, 1]
+    docs = [(0, "alpha beta gamma delta"), (1, "alpha x beta gamma x delta"), (2, "delta x gamma x beta x alpha"), (3, "alpha " + "x " * 9 + "delta beta gamma"), (4, "delta y delta x gamma beta x x x alpha"), (5, "delta alpha gamma")]
+    items = [(1, "alpha beta gamma delta"), (2, "x beta")]
+    got = decontam.contamination(make(docs), benchmark(spark, items)).drop("doc", "version")
+    assert sorted(map(tuple, got.collect())) == sorted(brute_hits(docs, items))
+    assert {r.doc_id: r.n_near for r in got.collect()} == {0: 1, 1: 2, 2: 2, 3: 1, 4: 1, 5: 0}
 
 
 def brute_targets(sizes, weights=(5, 2, 1)):

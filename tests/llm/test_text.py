@@ -201,7 +201,7 @@ def test_pipeline(spark, make, words, tmp_path):
 
     docs, labels = toxic_corpus(spark, make, words, 300)
     passage = " ".join(words(999, 40, 9000))
-    own = docs.where("doc_id < 300 AND doc_id IS NOT NULL").union(make([(1000, passage), (1001, passage + " tail"), (1002, " ".join(words(2, 30))), (1003, " ".join(words(2, 30)), "t")]))
+    own = docs.where("doc_id < 300 AND doc_id IS NOT NULL").union(make([(1000, passage), (1001, passage + " tail"), (1002, " ".join(words(2, 30))), (1003, " ".join(words(2, 30)), "t"), (1004, " ".join([*words(77, 500, 9000), passage, *words(78, 500, 9000)]))]))
     own.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -217,7 +217,7 @@ def test_pipeline(spark, make, words, tmp_path):
     bad = {r.doc_id for r in labels.where("toxic = 1").collect()}
     assert len(bad & set(seen["toxicity"])) < 0.1 * len(bad) and len(set(seen["toxicity"]) - bad) >= 0.95 * (300 - len(bad))
     assert not {1002, 1003} & set(seen["simhash_near_dedup"]) and set(seen["simhash_near_dedup"]) <= set(seen["toxicity"])
-    assert not {1000, 1001} & set(seen["benchmark_decontamination"])
+    assert {1000, 1004} <= set(seen["simhash_near_dedup"]) and not {1000, 1001, 1004} & set(seen["benchmark_decontamination"])
     assert len(seen["source_mixing"]) > len(seen["benchmark_decontamination"])
     assert seen["token_files"] == seen["source_mixing"]
     assert sorted(r.doc_id for r in P.run(spark, str(tmp_path)).collect()) == seen["token_files"]
