@@ -33,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark passages."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc", "version").distinct()
+    """Documents without any whole window of a benchmark item, of which less than a twentieth lies in shorter items."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated OR whole_window").select("doc", "version").distinct()
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(ROW), doc_key().alias("doc"), F.xxhash64("text").alias("version"))
     return keyed.join(decontam.small(materialize(found, "contaminated")), ["doc", "version"], "left_anti").select(f"{ROW}.*")
 
