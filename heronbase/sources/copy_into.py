@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,7 @@ class Format:
     trim_space: bool = False
     strip_outer_array: bool = False
     strip_null_values: bool = False
+    multi_line: bool = True
     null_if: list[str] = field(default_factory=list)
     date_format: str = ""
     timestamp_format: str = ""
@@ -227,27 +229,28 @@ class Loader:
         return self.spark.read.parquet(*paths).select(*[c.name for c in table.columns])
 
     def _csv(self, f: Format, table: Table, paths: list[str]) -> DataFrame:
+        """Records as the table's columns.  A file is read by one task, as a quoted field may hold line breaks; ``MULTI_LINE = FALSE`` says that none does, and files are split."""
         names = [f"__{i}" for i in range(len(table.columns))]
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("__bad", T.StringType())])
         reader = self.spark.read.schema(schema).option("sep", f.field_delimiter[:1]).option("columnNameOfCorruptRecord", "__bad").option("quote", '"').option("escape", '"')
         reader = reader.option("ignoreLeadingWhiteSpace", f.trim_space).option("ignoreTrailingWhiteSpace", f.trim_space)
         if f.record_delimiter in ("\n", "\r\n", "\r"):
-            reader = reader.option("multiLine", True)
+            reader = reader.option("multiLine", f.multi_line)
         else:
             reader = reader.option("lineSep", f.record_delimiter)
-        if f.skip_header <= 1:
-            df = reader.option("header", f.skip_header == 1).option("enforceSchema", True).csv(paths)
-        else:  # a file's first records: whole lines are dropped before parsing
-            raise InvalidValue("SKIP_HEADER above 1 does not work yet")  # it loaded no rows, without an error
-            whole = self.spark.read.option("wholetext", True).text(paths)
-            lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).where((F.col("at") >= f.skip_header) & (F.col("value") != "")).select("value")
-            options = {"sep": f.field_delimiter[:1], "columnNameOfCorruptRecord": "__bad", "escape": '"'}
-            df = lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
+        df = reader.option("header", f.skip_header == 1).option("enforceSchema", True).csv(paths)
+        if f.skip_header > 1:  # records, not lines: the parser tells where one ends
+            place = Window.partitionBy("__file").orderBy("__block", "__at")
+            marked = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+            df = marked.withColumn("__at", F.row_number().over(place)).where(F.col("__at") > f.skip_header).drop("__file", "__block", "__at")
         kinds = [x.dataType for x in table.schema]
         bad = F.when(F.col("__bad").isNotNull(), F.raise_error(F.concat(F.lit("not as many fields as columns: "), F.col("__bad"))).cast("string"))
         out = []
         for i, (n, kind) in enumerate(zip(names, kinds, strict=True)):
-            value = F.when(F.col(n).isin(["", *f.null_if]), F.lit(None)).otherwise(F.col(n))
+            text = F.col(n)
+            if i == len(names) - 1 and f.record_delimiter != "\r":  # a break within quotes can hide that lines end in both
+                text = F.regexp_replace(text, r"\r\z", "")
+            value = F.when(text.isin(["", *f.null_if]), F.lit(None)).otherwise(text)
             value = F.coalesce(bad, value) if i == 0 else value
             if f.date_format and isinstance(kind, T.DateType):
                 value = F.to_date(value, _pattern(f.date_format))
@@ -257,19 +260,25 @@ class Loader:
         return df.select(*out)
 
     def _json(self, f: Format, table: Table, paths: list[str]) -> DataFrame:
+        """A file is one document, an object or an array, over any number of lines; several documents in a file are an error.  It is read as one string, so 2 GB at most."""
         if len(table.columns) != 1:
             raise InvalidValue("JSON loads into a table of one column")
-        whole = self.spark.read.option("wholetext", True).text(paths).where("trim(value) <> ''").select(F.expr("parse_json(value)").alias("v"), F.expr("schema_of_variant(parse_json(value))").alias("kind"))
-        whole.createOrReplaceTempView("__copy_json")
-        items = self.spark.sql("SELECT i.value AS v, w.kind AS kind FROM __copy_json w, LATERAL variant_explode(w.v) i WHERE w.kind LIKE 'ARRAY%'")
+        whole = self.spark.read.text(paths, wholetext=True).where(~F.col("value").rlike(r"\A\s*\z")).select(F.parse_json("value").alias("v"))
+        whole = whole.select("v", F.schema_of_variant("v").alias("kind"))
+        name = f"__copy_{uuid.uuid4().hex[:12]}"
+        whole.createOrReplaceTempView(name)
+        try:
+            items = self.spark.sql(f"SELECT i.value AS v FROM {name} w, LATERAL variant_explode(w.v) i WHERE w.kind LIKE 'ARRAY%'")
+        finally:
+            self.spark.catalog.dropTempView(name)
         if f.strip_outer_array:
-            items = items.where("schema_of_variant(v) LIKE 'OBJECT%'").select("v")
+            items = items.where(F.schema_of_variant("v").like("OBJECT%"))
         else:
             items = items.select(F.expr("parse_json(concat('{\"$1\":', to_json(v), '}'))").alias("v"))
         single = whole.where("kind NOT LIKE 'ARRAY%'").select(F.expr("if(kind LIKE 'OBJECT%', v, parse_json(raise_error('neither object nor array')))").alias("v"))
         both = items.union(single)
         if f.strip_null_values:
-            both = both.select(F.expr("parse_json(to_json(from_json(to_json(v), 'map<string,variant>')))").alias("v"))
+            both = both.select(F.expr("parse_json(to_json(map_filter(from_json(to_json(v), 'map<string,variant>'), (k, x) -> NOT is_variant_null(x))))").alias("v"))
         kind = table.schema[0].dataType
         return both if isinstance(kind, T.VariantType) else both.select(F.to_json("v").alias("v"))
 

@@ -106,29 +106,29 @@ def test_catalog_survives(spark, tmp_path):
     assert two.query("SELECT a, VARIANT_GET(b, '$[0]', 'int') FROM t").collect() == [(1, 1)]
 
 
-MERGE = """MERGE INTO target AS t
-USING (SELECT id, UPPER(TRIM(value)) AS value, name, deleted FROM source) AS s
-ON t.id = s.id
-   AND t.id > 0
-WHEN MATCHED AND s.deleted = true
+MERGE = """MERGE INTO shelves AS w
+USING (SELECT sku, LOWER(label) AS label, qty, gone FROM deliveries) AS d
+ON w.sku = d.sku
+   AND w.sku > 0
+WHEN MATCHED AND d.gone
   THEN DELETE
-WHEN MATCHED THEN UPDATE SET t.value = CASE WHEN s.value = '' THEN 'none' ELSE s.value END,
-  name = CONCAT(s.name, '!')
-WHEN NOT MATCHED AND NOT s.deleted THEN INSERT (id, value) VALUES (s.id, COALESCE(s.value, 'x'))"""
+WHEN MATCHED THEN UPDATE SET w.label = CASE WHEN d.label = '' THEN 'none' ELSE d.label END,
+  qty = w.qty + d.qty
+WHEN NOT MATCHED AND NOT d.gone THEN INSERT (sku, label) VALUES (d.sku, COALESCE(d.label, 'x'))"""
 
 
 def test_merge(session, rows):
-    session.execute("CREATE TABLE target (id INTEGER, value VARCHAR, name VARCHAR)")
-    session.execute("INSERT INTO target VALUES (1,'a','n1'),(2,'b','n2'),(5,'e','n5')")
-    session.execute("CREATE TABLE source (id INTEGER, value VARCHAR, name VARCHAR, deleted BOOLEAN)")
-    session.execute("INSERT INTO source VALUES (1,' new1 ','u1',false),(2,'x','u2',true),(3,'ins','u3',false),(4,'no','u4',true)")
+    session.execute("CREATE TABLE shelves (sku INTEGER, label VARCHAR, qty INTEGER)")
+    session.execute("INSERT INTO shelves VALUES (1,'a',10),(2,'b',20),(5,'e',50)")
+    session.execute("CREATE TABLE deliveries (sku INTEGER, label VARCHAR, qty INTEGER, gone BOOLEAN)")
+    session.execute("INSERT INTO deliveries VALUES (1,'NEW',1,false),(2,'x',2,true),(3,'INS',3,false),(4,'no',4,true)")
     got = session.execute(MERGE)
     assert (got.detail.updated, got.detail.deleted, got.detail.inserted, got.affected) == (1, 1, 1, 3)
-    assert rows("SELECT * FROM target ORDER BY id") == [(1, "NEW1", "u1!"), (3, "INS", None), (5, "e", "n5")]
-    session.execute("INSERT INTO source VALUES (5,'p','q',false),(5,'r','s',false)")
+    assert rows("SELECT * FROM shelves ORDER BY sku") == [(1, "new", 11), (3, "ins", None), (5, "e", 50)]
+    session.execute("INSERT INTO deliveries VALUES (5,'p',7,false),(5,'r',8,false)")
     with pytest.raises(DuplicateMatch):
-        session.execute("MERGE INTO target t USING source s ON t.id = s.id WHEN MATCHED THEN UPDATE SET name = s.name")
-    assert session.execute("MERGE INTO target USING source ON target.id = source.id WHEN NOT MATCHED THEN INSERT VALUES (source.id, source.value, source.name)").affected == 2
+        session.execute("MERGE INTO shelves w USING deliveries d ON w.sku = d.sku WHEN MATCHED THEN UPDATE SET qty = d.qty")
+    assert session.execute("MERGE INTO shelves USING deliveries ON shelves.sku = deliveries.sku WHEN NOT MATCHED THEN INSERT VALUES (deliveries.sku, deliveries.label, deliveries.qty)").affected == 2
 
 
 def test_merge_into_empty_table(session, rows):
@@ -139,8 +139,8 @@ def test_merge_into_empty_table(session, rows):
 
 def test_merge_parse():
     m = parse_merge(MERGE)
-    assert (m.target, m.alias, m.source_alias, [w.action for w in m.whens]) == (["TARGET"], "T", "S", ["DELETE", "UPDATE", "INSERT"])
-    assert [n for n, _ in m.whens[1].assign] == ["VALUE", "NAME"] and m.whens[0].condition and not m.whens[1].condition
+    assert (m.target, m.alias, m.source_alias, [w.action for w in m.whens]) == (["SHELVES"], "W", "D", ["DELETE", "UPDATE", "INSERT"])
+    assert [n for n, _ in m.whens[1].assign] == ["LABEL", "QTY"] and m.whens[0].condition and not m.whens[1].condition
     for bad in ("MERGE t", "MERGE INTO t USING s ON t.a = s.a", "MERGE INTO t ON a = b WHEN MATCHED THEN DELETE", "MERGE INTO t USING s ON 1=1 WHEN MATCHED THEN INSERT VALUES (1)"):
         with pytest.raises(SqlSyntaxError):
             parse_merge(bad)
@@ -183,6 +183,37 @@ def test_copy_errors(session, rows):
     assert session.execute("COPY INTO t FROM @st PATTERN = 'head*' FILE_FORMAT = (SKIP_HEADER = 2)").affected == 1
 
 
+def test_copy_skips_records(session, rows):
+    session.execute("CREATE STAGE st")
+    session.execute("CREATE TABLE t (id INTEGER, name VARCHAR)")
+    put(session, "a.csv", 'title,"two\nlines"\r\nid,name\r\n1,a\r\n2,"b\nc"\r\n')
+    put(session, "b.csv", "title\nid,name\n3,d")
+    put(session, "c.csv", "title\n")
+    put(session, "d.csv", "")
+    assert session.execute("COPY INTO t FROM @st FILE_FORMAT = (TYPE = CSV SKIP_HEADER = 2)").affected == 3
+    assert rows("SELECT id, name FROM t ORDER BY id") == [(1, "a"), (2, "b\nc"), (3, "d")]
+    put(session, "wide/e.csv", "".join(f"{i},x\n" for i in range(10, 500)))
+    assert session.execute("COPY INTO t FROM @st/wide FILE_FORMAT = (SKIP_HEADER = 3 MULTI_LINE = FALSE)").affected == 487
+    assert rows("SELECT MIN(id) FROM t WHERE id > 9") == [(13,)]
+
+
+def test_copy_json_over_lines(session, rows):
+    session.execute("CREATE STAGE st")
+    session.execute("CREATE TABLE t (data VARIANT)")
+    put(session, "a.json", '[\r\n  {"id": 1,\n   "note": null},\n\n  {"id": 2}\n]\n')
+    put(session, "b.json", '\n{\n"id": 3\n}')
+    put(session, "blank.json", " \n")
+    assert session.execute("COPY INTO t FROM @st FILE_FORMAT = (TYPE = JSON STRIP_OUTER_ARRAY = TRUE STRIP_NULL_VALUES = TRUE)").affected == 3
+    assert rows("SELECT TO_JSON(data) FROM t ORDER BY data:id::INT") == [('{"id":1}',), ('{"id":2}',), ('{"id":3}',)]
+    assert session.execute("COPY INTO t FROM @st FILES = ('a.json') FILE_FORMAT = (TYPE = JSON)").affected == 2
+    put(session, "lines.json", '{"id": 4}\n{"id": 5}\n')
+    put(session, "number.json", "7")
+    for name in ("lines.json", "number.json"):  # a file is one document
+        with pytest.raises(EngineError):
+            session.execute(f"COPY INTO t FROM @st FILES = ('{name}') FILE_FORMAT = (TYPE = JSON)")
+    assert not [v for v in session.spark.catalog.listTables() if v.name.startswith("__copy")]
+
+
 def test_copy_json(session, rows):
     session.execute("CREATE STAGE st")
     session.execute("CREATE TABLE t (data VARCHAR)")
