@@ -263,7 +263,10 @@ class Loader:
         """A file is one document, an object or an array, over any number of lines; several documents in a file are an error.  It is read as one string, so 2 GB at most."""
         if len(table.columns) != 1:
             raise InvalidValue("JSON loads into a table of one column")
-        whole = self.spark.read.text(paths, wholetext=True).where(~F.col("value").rlike(r"\A\s*\z")).select(F.parse_json("value").alias("v"))
+        whole = self.spark.read.text(paths, wholetext=True).where(~F.col("value").rlike(r"\A\s*\z")).select(F.parse_json(F.concat(F.lit("["), "value", F.lit("]"))).alias("a"))
+        # the parser alone would stop behind the first document
+        one = F.assert_true(F.expr("variant_get(a, '$[1]', 'variant')").isNull(), "more than one document")
+        whole = whole.where(one.isNull()).select(F.expr("variant_get(a, '$[0]', 'variant')").alias("v"))
         whole = whole.select("v", F.schema_of_variant("v").alias("kind"))
         name = f"__copy_{uuid.uuid4().hex[:12]}"
         whole.createOrReplaceTempView(name)
@@ -275,7 +278,7 @@ class Loader:
             items = items.where(F.schema_of_variant("v").like("OBJECT%"))
         else:
             items = items.select(F.expr("parse_json(concat('{\"$1\":', to_json(v), '}'))").alias("v"))
-        single = whole.where("kind NOT LIKE 'ARRAY%'").select(F.expr("if(kind LIKE 'OBJECT%', v, parse_json(raise_error('neither object nor array')))").alias("v"))
+        single = whole.where("kind NOT LIKE 'ARRAY%'").where(F.assert_true(F.col("kind").like("OBJECT%"), "neither object nor array").isNull()).select("v")
         both = items.union(single)
         if f.strip_null_values:
             both = both.select(F.expr("parse_json(to_json(map_filter(from_json(to_json(v), 'map<string,variant>'), (k, x) -> NOT is_variant_null(x))))").alias("v"))
