@@ -1,15 +1,19 @@
 """INSERT, UPDATE, DELETE, TRUNCATE and MERGE over tables of Parquet files.
 
 Updates, deletes and merges find the files that hold matching rows first and rewrite
-those alone; all other files are carried over.
+those alone; all other files are carried over.  UPDATE ... FROM and DELETE ... USING join
+the target with other tables; where several of their rows match a target row, one of
+them, whichever, gives the new values.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from heronbase.errors import DuplicateMatch, InvalidValue, SqlSyntaxError
@@ -216,23 +220,65 @@ class Writer:
         table = self.view.get(key)
         return self._append(key, table, self._stored(table, rows, names))
 
-    def _matching(self, table: Table, alias: str, where: list[Token]) -> tuple[set[str], int]:
+    def _matching(self, table: Table, alias: str, where: list[Token]) -> set[str]:
+        """Files that hold rows for which the condition holds."""
         name = self._named(self._place(table))
         try:
             condition = f" WHERE {self.text(where)}" if where else ""
-            hit = self.spark.sql(f"SELECT __file, count(*) AS n FROM {name} AS `{alias}`{condition} GROUP BY __file").collect()
+            return {r[0] for r in self.spark.sql(f"SELECT DISTINCT __file FROM {name} AS `{alias}`{condition}").collect()}
         finally:
             self.spark.catalog.dropTempView(name)
-        return {r["__file"] for r in hit}, sum(r.n for r in hit)
 
-    def _rewritten(self, key: Key, table: Table, files: tuple[str, ...], keep: tuple[str, ...], query: str, alias: str) -> None:
-        part = replace(table, files=files)
-        name = self._named(self.view.read(part))
+    def _rewritten(self, key: Key, table: Table, files: tuple[str, ...], keep: tuple[str, ...], select: str, where: list[Token], alias: str, stays: bool) -> int:
+        """Writes ``files`` anew in one scan, in which each row's condition is computed once; rows that hit are selected and, unless one ``stays``, left out.  How many hit."""
+        name = self._named(self.view.read(replace(table, files=files)))
+        seen = Observation()
         try:
-            new = self.view.written(key, self.spark.sql(query.format(source=f"{name} AS `{alias}`")))
+            condition = f"coalesce(({self.text(where)}), false)" if where else "true"
+            marked = self.spark.sql(f"SELECT *, {condition} AS __hit FROM {name} AS `{alias}`").observe(seen, F.count_if("__hit").alias("n"))
+            other = self._named(marked)
+            try:
+                fresh = self.spark.sql(f"SELECT {select} FROM {other} AS `{alias}`" + ("" if stays else " WHERE NOT __hit"))
+                new = self.view.written(key, fresh)
+            finally:
+                self.spark.catalog.dropTempView(other)
         finally:
             self.spark.catalog.dropTempView(name)
-        self.view.put(key, table, replace(table, files=keep + new))
+        if n := seen.get["n"]:
+            self.view.put(key, table, replace(table, files=keep + new))
+        return n
+
+    def _joined(self, key: Key, table: Table, alias: str, others: list[Token], where: list[Token], values: list[str]) -> int:
+        """Target rows that the other tables' rows match get ``values``, or go if there are none.  How many match."""
+        target = self._named(self._place(table))
+        try:
+            condition = f" WHERE {self.text(where)}" if where else ""
+            found = self.spark.sql(f"SELECT {', '.join(['__file', '__row', *values])} {self.text([Token('word', 'FROM'), *others])}, {target} AS `{alias}`{condition}")
+            with self._kept(key, found.dropDuplicates(["__file", "__row"])) as acted:
+                by_file = acted.groupBy("__file").count().collect()
+                if by_file:
+                    self.view.put(key, table, self._replaced(key, table, acted, {r["__file"] for r in by_file}, acted if values else None))
+                return sum(r["count"] for r in by_file)
+        finally:
+            self.spark.catalog.dropTempView(target)
+
+    def _replaced(self, key: Key, table: Table, acted: DataFrame, found: set[str], fresh: DataFrame | None) -> Table:
+        """The table with its files ``found`` written anew: without the rows of ``acted``, with those of ``fresh``."""
+        files, keep = self._same(table.files, found)
+        names = [c.name for c in table.columns]
+        left = self._place(replace(table, files=files)).join(acted.select("__file", "__row"), ["__file", "__row"], "left_anti").select(*names)
+        whole = left.union(fresh.select(*names)) if fresh is not None else left
+        return replace(table, files=keep + self.view.written(key, self._stored(table, whole)))
+
+    @contextmanager
+    def _kept(self, key: Key, df: DataFrame) -> Iterator[DataFrame]:
+        """``df`` computed once, in files that go afterwards."""
+        store, part = self.view.catalog.store, ("tables", *key, f"scratch-{uuid.uuid4().hex}")
+        df.write.parquet(store.url(*part))
+        try:
+            yield self.spark.read.schema(df.schema).parquet(store.url(*part))
+        finally:
+            store.delete(*part)
 
     def update(self, items: list[Token]) -> Changed:
         parts, at = dotted(items, 1)
@@ -240,48 +286,45 @@ class Writer:
         if items[at].up != "SET":
             at += items[at].up == "AS"
             alias, at = items[at].name, at + 1
-        table, end = self.view.get(key), find(items, "WHERE", start=at)
+        table, from_, end = self.view.get(key), find(items, "FROM", start=at), find(items, "WHERE", start=at)
         where = items[end + 1 :] if end >= 0 else []
-        new = {n.upper(): e for n, e in assignments(items[at + 1 : end if end >= 0 else len(items)], {alias.upper(), parts[-1].upper()})}
+        end = end if end >= 0 else len(items)
+        others = items[from_ + 1 : end] if from_ >= 0 else []
+        new = {n.upper(): e for n, e in assignments(items[at + 1 : from_ if others else end], {alias.upper(), parts[-1].upper()})}
         if unknown := new.keys() - {c.name.upper() for c in table.columns}:
             raise InvalidValue(f"no such column: {sorted(unknown)[0]}")
         if not table.files:
             return Changed()
-        found, n = self._matching(table, alias, where)
-        if not n:
-            return Changed()
-        hit, keep = self._same(table.files, found)
-        condition = self.text(where) if where else "true"
-        plain, fresh = [], []
+        values = []
         for c, f in zip(table.columns, table.schema, strict=True):
-            kind, name = f.dataType.simpleString(), f"`{alias}`.`{c.name}`"
-            plain.append(f"{name} AS `{c.name}`")
-            fresh.append(f"cast({self.text(new[c.name.upper()])} as {kind}) AS `{c.name}`" if c.name.upper() in new else plain[-1])
-        condition, stays = condition.replace("{", "{{").replace("}", "}}"), ", ".join(plain).replace("{", "{{").replace("}", "}}")
-        goes = ", ".join(fresh).replace("{", "{{").replace("}", "}}")
-        query = f"SELECT {goes} FROM {{source}} WHERE {condition} UNION ALL SELECT {stays} FROM {{source}} WHERE NOT coalesce(({condition}), false)"
-        self._rewritten(key, table, hit, keep, query, alias)
-        return Changed(updated=n)
+            kind, old = f.dataType.simpleString(), f"`{alias}`.`{c.name}`"
+            fresh = f"cast({self.text(new[c.name.upper()])} as {kind})" if c.name.upper() in new else old
+            values.append(f"{fresh} AS `{c.name}`" if others or fresh == old else f"CASE WHEN __hit THEN {fresh} ELSE {old} END AS `{c.name}`")
+        if others:
+            return Changed(updated=self._joined(key, table, alias, others, where, values))
+        hit, keep = self._same(table.files, self._matching(table, alias, where))
+        return Changed(updated=self._rewritten(key, table, hit, keep, ", ".join(values), where, alias, True) if hit else 0)
 
     def delete(self, items: list[Token]) -> Changed:
         parts, at = dotted(items, 2)
         key, alias = self.resolve(parts), parts[-1]
-        if at < len(items) and items[at].up != "WHERE":
+        if at < len(items) and items[at].up not in ("WHERE", "USING"):
             at += items[at].up == "AS"
             alias, at = items[at].name, at + 1
-        table, where = self.view.get(key), items[at + 1 :]
+        table, end = self.view.get(key), find(items, "WHERE", start=at)
+        where = items[end + 1 :] if end >= 0 else []
+        others = items[at + 1 : end if end >= 0 else len(items)] if at < len(items) and items[at].up == "USING" else []
         if not table.files:
             return Changed()
-        found, n = self._matching(table, alias, where)
-        if not n:
-            return Changed()
+        if others:
+            return Changed(deleted=self._joined(key, table, alias, others, where, []))
         if not where:
+            n = self.view.read(table).count()
             self.view.put(key, table, replace(table, files=()))
             return Changed(deleted=n)
-        hit, keep = self._same(table.files, found)
-        condition = self.text(where).replace("{", "{{").replace("}", "}}")
-        self._rewritten(key, table, hit, keep, f"SELECT * FROM {{source}} WHERE NOT coalesce(({condition}), false)", alias)
-        return Changed(deleted=n)
+        hit, keep = self._same(table.files, self._matching(table, alias, where))
+        columns = ", ".join(f"`{c.name}`" for c in table.columns)
+        return Changed(deleted=self._rewritten(key, table, hit, keep, columns, where, alias, False) if hit else 0)
 
     def truncate(self, items: list[Token]) -> Changed:
         parts, _ = dotted(items, 2 if items[1].up == "TABLE" else 1)
@@ -301,14 +344,18 @@ class Writer:
             if unknown := [n for n, _ in w.assign if n.upper() not in kinds]:
                 raise InvalidValue(f"no such column: {unknown[0]}")
         inner = m.source[1:-1] if m.source[0].up == "(" else [*tokens("SELECT * FROM"), *m.source]
-        source = self._named(self.run(inner))
-        target = self._named(self._place(table) if table.files else self.view.read(table).select("*", F.lit("").alias("__file"), F.lit(0).cast("long").alias("__row")))
-        made = [source, target]
-        t, s = f"{target} AS `{m.alias}`", f"{source} AS `{m.source_alias}`"
-        out = Changed()
-        try:
-            on = self.text(m.on)
-            files, keep, new = (), table.files, ()
+        with ExitStack() as stack:
+
+            def named(df: DataFrame) -> str:
+                name = self._named(df)
+                stack.callback(self.spark.catalog.dropTempView, name)
+                return name
+
+            source = named(stack.enter_context(self._kept(key, self.run(inner))))  # both joins read it
+            target = named(self._place(table) if table.files else self.view.read(table).select("*", F.lit("").alias("__file"), F.lit(0).cast("long").alias("__row")))
+            t, s = f"{target} AS `{m.alias}`", f"{source} AS `{m.source_alias}`"
+            out, on = Changed(), self.text(m.on)
+            after, added = table, ()
             matched = [w for w in m.whens if w.matched]
             if matched and table.files:
                 action = "CASE " + " ".join(f"WHEN {self.text(w.condition) if w.condition else 'true'} THEN {i}" for i, w in enumerate(matched)) + " END"
@@ -317,47 +364,30 @@ class Writer:
                     whens = [f"WHEN {i} THEN cast({self.text(e)} as {kinds[c.name.upper()]})" for i, w in enumerate(matched) for n, e in w.assign if n.upper() == c.name.upper()]
                     old = f"`{m.alias}`.`{c.name}`"
                     values.append(f"CASE __action {' '.join(whens)} ELSE {old} END AS `{c.name}`" if whens else f"{old} AS `{c.name}`")
-                acted = self._acted(t, s, on, action, values)
-                place = self.view.catalog.store.url("tables", *key, f"merge-{uuid.uuid4().hex}")
-                acted.write.parquet(place)
-                try:
-                    acted = self.spark.read.schema(acted.schema).parquet(place)
-                    if acted.groupBy("__file", "__row").count().where("count > 1").head(1):
-                        raise DuplicateMatch("more than one source row changes the same target row")
-                    deletes = [i for i, w in enumerate(matched) if w.action == "DELETE"]
-                    by_file = acted.groupBy("__file").agg(F.count_if(F.col("__action").isin(deletes)).alias("gone"), F.count(F.lit(1)).alias("n")).collect()
-                    out.deleted = sum(r.gone for r in by_file)
-                    out.updated = sum(r.n for r in by_file) - out.deleted
-                    files, keep = self._same(table.files, {r["__file"] for r in by_file})
-                    if files:
-                        rows = self._place(replace(table, files=files))
-                        left = rows.join(acted.select("__file", "__row"), ["__file", "__row"], "left_anti").select(*[c.name for c in table.columns])
-                        updated = acted.where(~F.col("__action").isin(deletes)).select(*[c.name for c in table.columns])
-                        new = self.view.written(key, self._stored(table, left.union(updated)))
-                finally:
-                    self.view.catalog.store.fs.delete(self.view.catalog.store._jvm.org.apache.hadoop.fs.Path(place), True)
+                acted = stack.enter_context(self._kept(key, self._acted(t, s, on, action, values)))
+                if acted.groupBy("__file", "__row").count().where("count > 1").head(1):
+                    raise DuplicateMatch("more than one source row changes the same target row")
+                deletes = [i for i, w in enumerate(matched) if w.action == "DELETE"]
+                by_file = acted.groupBy("__file").agg(F.count_if(F.col("__action").isin(deletes)).alias("gone"), F.count(F.lit(1)).alias("n")).collect()
+                out.deleted = sum(r.gone for r in by_file)
+                out.updated = sum(r.n for r in by_file) - out.deleted
+                if by_file:
+                    after = self._replaced(key, table, acted, {r["__file"] for r in by_file}, acted.where(~F.col("__action").isin(deletes)))
             unmatched = [w for w in m.whens if not w.matched]
-            added = ()
             if unmatched:
-                fresh = self._named(self.spark.sql(f"SELECT `{m.source_alias}`.* FROM {s} LEFT ANTI JOIN {t} ON {on}"))
-                made.append(fresh)
+                fresh = named(self.spark.sql(f"SELECT `{m.source_alias}`.* FROM {s} LEFT ANTI JOIN {t} ON {on}"))
                 action = "CASE " + " ".join(f"WHEN {self.text(w.condition) if w.condition else 'true'} THEN {i}" for i, w in enumerate(unmatched)) + " END"
-                parts = []
+                whole = None
                 for i, w in enumerate(unmatched):
                     values = ", ".join(self.text(v) for v in w.values)
                     df = self.spark.sql(f"SELECT {values} FROM {fresh} AS `{m.source_alias}` WHERE ({action}) = {i}")
-                    parts.append(self._stored(table, df, [n for n, _ in w.assign] or None))
-                whole = parts[0]
-                for p in parts[1:]:
-                    whole = whole.union(p)
+                    one = self._stored(table, df, [n for n, _ in w.assign] or None)
+                    whole = one if whole is None else whole.union(one)
                 added = self.view.written(key, whole)
                 out.inserted = self.spark.read.parquet(*added).count() if added else 0
-            if files or added:
-                self.view.put(key, table, replace(table, files=keep + new + added))
+            if after is not table or added:
+                self.view.put(key, table, replace(after, files=after.files + added))
             return out
-        finally:
-            for name in made:
-                self.spark.catalog.dropTempView(name)
 
     def _acted(self, t: str, s: str, on: str, action: str, values: list[str]) -> DataFrame:
         """Target rows that some clause acts on, with their new values."""

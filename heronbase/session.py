@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType
 
 from heronbase.bindings import arguments
-from heronbase.errors import InvalidValue, NotFound, SessionError, SqlSyntaxError, wrap
+from heronbase.errors import Conflict, InvalidValue, NotFound, SessionError, SqlSyntaxError, wrap
 from heronbase.lexer import Token, closing, find, literal, spell, split, tokens
 from heronbase.operators.dml import Changed, Writer, dotted
 from heronbase.plans.classify import classify
@@ -52,14 +52,27 @@ class Outcome:
         return Result(column_metadata(self.frame.schema), [tuple(r) for r in self.frame.collect()])
 
 
+def default_warehouse(spark: SparkSession) -> str:
+    """The session's warehouse folder if it is set, else a temporary one, which only a local session may use."""
+    found = spark.sparkContext.getConf().get("spark.sql.warehouse.dir")
+    if found:
+        return f"{found.rstrip('/')}/heronbase"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise InvalidValue("a warehouse is needed: executors must reach its files")
+    return tempfile.mkdtemp(prefix="heronbase-warehouse-")
+
+
 class Engine:
     """Catalog, stages, history and sessions over one Spark session."""
 
     def __init__(self, spark: SparkSession, warehouse: str | None = None, session_ttl: float = 86_400):
         self.spark = spark
-        self.catalog = Catalog(spark, warehouse or tempfile.mkdtemp(prefix="heronbase-warehouse-"))
-        self.catalog.create_database(DATABASE, if_not_exists=True)
-        self.stages, self.history, self.statements, self.warehouses = Stages(self.catalog), History(), Statements(spark), Warehouses()
+        self.catalog = Catalog(spark, warehouse or default_warehouse(spark))
+        try:
+            self.catalog.create_database(DATABASE, if_not_exists=True)
+        except Conflict:  # another engine has just made it
+            self.catalog.database(DATABASE)
+        self.stages, self.history, self.statements, self.warehouses = Stages(self.catalog), History(self.catalog.store), Statements(spark), Warehouses()
         self.ttl, self.sessions, self.lock = session_ttl, {}, threading.Lock()
 
     def session(self, user: str = "", database: str = DATABASE, schema: str = SCHEMA) -> Session:
@@ -263,6 +276,7 @@ class Session:
         marks = iter(range(1, len(items) + 1))
         items = [Token("param", f":{next(marks)}") if t.text == "?" and t.kind == "param" else t for t in items]
         kind, first = classify(sql).kind, items[0].up
+        self.engine.catalog.refresh()
         if kind == "query":
             return Outcome(self._query(items))
         if kind == "transaction":

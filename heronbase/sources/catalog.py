@@ -5,6 +5,12 @@ writes new files and swaps the state; what is not touched is carried over, so an
 insert costs what it inserts, and an update or delete rewrites the files that hold
 matching rows.  Readers keep the state that they began with.  A transaction is a map
 of states of its own, published in one step.
+
+What is kept is a log: each commit is a small file with the objects that it changes and,
+for tables, the data files that come and go.  A commit's number can be claimed once, so
+of two engines on one warehouse the later one sees what the other has done, takes it up
+where it touches other objects, and raises Conflict where it does not.  Every
+``CHECKPOINT`` commits the whole state is written beside the log.
 """
 
 from __future__ import annotations
@@ -80,8 +86,13 @@ def upper(name: str) -> str:
     return name
 
 
+#: Commits from one copy of the whole state to the next.
+CHECKPOINT = 64
+KINDS = ("databases", "schemas", "stages", "formats", "tables")
+
+
 class Catalog:
-    """All metadata, kept in one JSON file of the warehouse."""
+    """All metadata, as of some commit of the warehouse's log."""
 
     def __init__(self, spark: SparkSession, warehouse: str):
         self.spark, self.store, self.lock = spark, Store(spark, warehouse), threading.RLock()
@@ -90,22 +101,96 @@ class Catalog:
         self.stages: dict[Key, Named] = {}
         self.formats: dict[Key, Named] = {}
         self.tables: dict[Key, Table] = {}
-        if self.store.exists("catalog.json"):
-            self._load(json.loads(self.store.read("catalog.json")))
+        #: The state of the last commit seen, and its number.
+        self.kept: dict[str, dict] = {k: {} for k in KINDS}
+        self.at = 0
+        whole = [n for n, _ in self.store.files("log") if n.endswith(".whole.json")]
+        if whole:
+            self._apply(json.loads(self.store.read("log", max(whole))))
+            self.at = int(max(whole).split(".")[0])
+        self.refresh()
 
     # -- keeping ---------------------------------------------------------------------
 
-    def _load(self, data: dict) -> None:
-        self.databases = {k: Named(**v) for k, v in data["databases"].items()}
-        for what in ("schemas", "stages", "formats"):
-            setattr(self, what, {tuple(k): Named(**v) for k, v in data[what]})
-        self.tables = {tuple(k): Table(**v | {"columns": tuple(Column(**c) for c in v["columns"]), "files": tuple(v["files"])}) for k, v in data["tables"]}
+    @staticmethod
+    def _file(n: int, kind: str = "") -> str:
+        return f"{n:012}{kind}.json"
+
+    def _apply(self, commit: dict) -> dict[str, set]:
+        """Takes a commit's changes into the kept and the current state; which objects they are."""
+        touched = {}
+        for kind in KINDS:
+            kept, now, touched[kind] = self.kept[kind], getattr(self, kind), set()
+            for name in commit.get("gone", {}).get(kind, []):
+                key = name if kind == "databases" else tuple(name)
+                kept.pop(key, None), now.pop(key, None)
+                touched[kind].add(key)
+            for name, data in commit.get("set", {}).get(kind, []):
+                key = name if kind == "databases" else tuple(name)
+                if kind == "tables":
+                    less, more = set(data.pop("less", ())), tuple(data.pop("files"))
+                    files = tuple(f for f in kept[key].files if f not in less) if key in kept and data.pop("goes_on", False) else ()
+                    data.pop("goes_on", None)
+                    kept[key] = now[key] = Table(**data | {"columns": tuple(Column(**c) for c in data["columns"]), "files": files + more})
+                else:
+                    kept[key] = now[key] = Named(**data)
+                touched[kind].add(key)
+        return touched
+
+    def refresh(self) -> dict[str, set]:
+        """Takes up what others have committed."""
+        with self.lock:
+            touched: dict[str, set] = {k: set() for k in KINDS}
+            while self.store.exists("log", self._file(self.at + 1)):
+                for kind, keys in self._apply(json.loads(self.store.read("log", self._file(self.at + 1)))).items():
+                    touched[kind] |= keys
+                self.at += 1
+            return touched
+
+    def _changes(self) -> tuple[dict, dict[str, set]]:
+        """What differs from the kept state, as a commit and as sets of keys."""
+        commit, keys = {"set": {}, "gone": {}}, {}
+        for kind in KINDS:
+            kept, now = self.kept[kind], getattr(self, kind)
+            new, gone = [k for k, v in now.items() if kept.get(k) is not v], [k for k in kept if k not in now]
+            keys[kind] = {*new, *gone}
+            plain = lambda k: k if isinstance(k, str) else list(k)
+            if gone:
+                commit["gone"][kind] = [plain(k) for k in gone]
+            if new:
+                commit["set"][kind] = [[plain(k), self._delta(kept.get(k), now[k]) if kind == "tables" else asdict(now[k])] for k in new]
+        return commit, keys
+
+    @staticmethod
+    def _delta(before: Table | None, after: Table) -> dict:
+        data = asdict(replace(after, files=()))
+        if before is None:
+            return data | {"files": list(after.files)}
+        had, has = set(before.files), set(after.files)
+        return data | {"files": [f for f in after.files if f not in had], "less": [f for f in before.files if f not in has], "goes_on": True}
 
     def save(self) -> None:
-        data = {"databases": {k: asdict(v) for k, v in self.databases.items()}}
-        for what in ("schemas", "stages", "formats", "tables"):
-            data[what] = [[list(k), asdict(v)] for k, v in getattr(self, what).items()]
-        self.store.write(json.dumps(data).encode(), "catalog.json")
+        """Commits what has changed; raises Conflict, and takes the changes back, if another engine has changed one of the same objects."""
+        commit, keys = self._changes()
+        if not any(keys.values()):
+            return
+        mine = {k: {x: getattr(self, k).get(x) for x in keys[k]} for k in KINDS}
+        while not self.store.claim(json.dumps(commit).encode(), "log", self._file(self.at + 1)):
+            touched = self.refresh()
+            if clash := [x for k in KINDS for x in touched[k] & keys[k]]:
+                for kind in KINDS:
+                    setattr(self, kind, dict(self.kept[kind]))
+                raise Conflict(f"changed meanwhile: {', '.join(x if isinstance(x, str) else '.'.join(x) for x in sorted(clash, key=str))}")
+        self.at += 1
+        for kind in KINDS:
+            for key, value in mine[kind].items():
+                if value is None:
+                    self.kept[kind].pop(key, None)
+                else:
+                    self.kept[kind][key] = value
+        if self.at % CHECKPOINT == 0:
+            whole = {"set": {k: [[x if isinstance(x, str) else list(x), asdict(v)] for x, v in self.kept[k].items()] for k in KINDS}}
+            self.store.write(json.dumps(whole).encode(), "log", self._file(self.at, ".whole"))
 
     @staticmethod
     def _named(name: str, parent: str = "", comment: str = "", owner: str = "", **more) -> Named:
@@ -136,7 +221,8 @@ class Catalog:
 
     def comment_database(self, name: str, comment: str) -> None:
         with self.lock:
-            self.database(name).comment = comment
+            found = self.database(name)
+            self.databases[found.name] = replace(found, comment=comment)
             self.save()
 
     def drop_database(self, name: str, if_exists: bool = False) -> None:
@@ -146,10 +232,13 @@ class Catalog:
                 if if_exists:
                     return
                 raise NotFound(f"database {name} does not exist")
-            for db, schema in [k for k in self.schemas if k[0] == name]:
-                self.drop_schema(db, schema, save=False)
+            schemas = [k for k in self.schemas if k[0] == name]
+            for key in schemas:
+                self._forget(key)
             del self.databases[name]
             self.save()
+            for key in schemas:
+                self._erase(key)
 
     def create_schema(self, database: str, name: str, comment: str = "", owner: str = "", if_not_exists: bool = False) -> Named:
         with self.lock:
@@ -172,21 +261,26 @@ class Catalog:
         name = self.database(database).name
         return sorted((s for k, s in self.schemas.items() if k[0] == name), key=lambda s: s.name)
 
-    def drop_schema(self, database: str, name: str, if_exists: bool = False, save: bool = True) -> None:
+    def drop_schema(self, database: str, name: str, if_exists: bool = False) -> None:
         with self.lock:
             key = (upper(database), upper(name))
             if key not in self.schemas:
                 if if_exists:
                     return
                 raise NotFound(f"schema {'.'.join(key)} does not exist")
-            for held in (self.tables, self.stages, self.formats):
-                for k in [k for k in held if k[:2] == key]:
-                    del held[k]
-            self.store.delete("tables", *key)
-            self.store.delete("stages", *key)
-            del self.schemas[key]
-            if save:
-                self.save()
+            self._forget(key)
+            self.save()
+            self._erase(key)
+
+    def _forget(self, key: tuple[str, str]) -> None:
+        for held in (self.tables, self.stages, self.formats):
+            for k in [k for k in held if k[:2] == key]:
+                del held[k]
+        del self.schemas[key]
+
+    def _erase(self, key: tuple[str, str]) -> None:
+        self.store.delete("tables", *key)
+        self.store.delete("stages", *key)
 
     # -- file formats --------------------------------------------------------------------
 
@@ -230,6 +324,7 @@ class View:
 
     def begin(self) -> None:
         with self.catalog.lock:
+            self.catalog.refresh()
             if self.began is None:
                 self.began, self.own = dict(self.catalog.tables), dict(self.catalog.tables)
 
@@ -240,6 +335,7 @@ class View:
             began, own = self.began, self.own
             changed = {k for k in began.keys() | own.keys() if began.get(k) is not own.get(k)}
             self.began = None
+            self.catalog.refresh()
             if clash := [k for k in changed if self.catalog.tables.get(k) is not began.get(k)]:
                 raise Conflict(f"changed meanwhile: {', '.join('.'.join(k) for k in sorted(clash))}")
             for k in changed:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -49,6 +52,35 @@ class Store:
             self.fs.delete(target, False)
             self.fs.rename(aside, target)
 
+    def claim(self, data: bytes, *parts: str) -> bool:
+        """Writes a file that must not exist yet, whole; False if someone else was first.
+
+        Local files are linked into place and HDFS refuses to rename onto a file, so one of
+        two writers loses; on an object store this rests on its conditional rename or put.
+        """
+        if self.exists(*parts):
+            return False
+        aside, target = self.path(*parts[:-1], f".{uuid.uuid4().hex}"), self.path(*parts)
+        stream = self.fs.create(aside, False)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+        try:
+            if target.toUri().getScheme() in (None, "file"):
+                nio = self._jvm.java.nio.file.Files
+                local = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+                try:
+                    nio.createLink(local(target), local(aside))
+                    return True
+                except Py4JJavaError:
+                    if self.exists(*parts):
+                        return False
+                    raise
+            return bool(self.fs.rename(aside, target))
+        finally:
+            self.fs.delete(aside, False)
+
     def files(self, *parts: str) -> list[tuple[str, int]]:
         """Relative name and size of all files below, in order of name."""
         top = self.path(*parts)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import json
 import threading
 import time
 import uuid
+import weakref
+from collections import deque
 from dataclasses import dataclass, field
 
 from heronbase.errors import AlreadyExists, InvalidValue, NotFound
@@ -101,13 +105,24 @@ class Entry:
 
 
 class History:
-    """Queries that ran, newest first."""
+    """Queries that ran, newest first.
+
+    The last ``MOST`` stay in memory.  With a store, those that ended are written beside
+    the catalog, ``BATCH`` at a time and at the end of the process, in files named after
+    their first and last start; so they outlive it, and engines on one warehouse see each
+    other's.  ``clear`` removes whole files.
+    """
 
     COLUMNS = "id string, session_id string, query_id string, sql_text string, status string, rows_affected long, execution_time_ms long, error_message string, started_at double, completed_at double"
+    MOST, BATCH = 10_000, 64
 
-    def __init__(self):
-        self.entries: list[Entry] = []
-        self.lock = threading.Lock()
+    def __init__(self, store=None):
+        self.store, self.lock = store, threading.Lock()
+        self.entries: deque[Entry] = deque(maxlen=self.MOST)
+        self.waiting: list[Entry] = []
+        self.own: set[str] = set()
+        if store:
+            atexit.register(_flushed(weakref.ref(self)))
 
     def start(self, session: str, sql: str) -> Entry:
         e = Entry(str(uuid.uuid4()), session, str(uuid.uuid4()), sql, "RUNNING", started_at=time.time())
@@ -119,21 +134,76 @@ class History:
         e.completed_at = time.time()
         e.execution_time_ms = int(1000 * (e.completed_at - e.started_at))
         e.status, e.rows_affected, e.error_message = ("FAILED", 0, str(error)) if error else ("SUCCESS", rows, "")
+        if self.store:
+            with self.lock:
+                self.waiting.append(e)
+                full = len(self.waiting) >= self.BATCH
+            if full:
+                self.flush()
+
+    def flush(self) -> None:
+        """Writes what has ended and is not written yet."""
+        with self.lock:
+            batch, self.waiting = self.waiting, []
+        if batch and self.store:
+            times = [e.started_at for e in batch]
+            name = f"{min(times):.6f}-{max(times):.6f}-{uuid.uuid4().hex}.json"
+            self.store.write("".join(json.dumps(vars(e)) + "\n" for e in batch).encode(), "history", name)
+            self.own.add(name)
+
+    def _files(self) -> list[tuple[float, str]]:
+        """Last start and name of the files, newest first."""
+        if not self.store:
+            return []
+        return sorted(((float(n.split("-")[1]), n) for n, _ in self.store.files("history") if n.endswith(".json") and not n.startswith(".")), reverse=True)
 
     def list(self, session: str | None = None, limit: int = 100) -> list[Entry]:
-        found = [e for e in reversed(self.entries) if session is None or e.session_id == session]
-        return found[: limit if limit > 0 else 100]
+        limit = limit if limit > 0 else 100
+        fits = lambda e: session is None or e.session_id == session
+        with self.lock:
+            found = {e.id: e for e in self.entries if fits(e)}
+        for last, name in self._files():
+            newest = sorted((e.started_at for e in found.values()), reverse=True)
+            if len(newest) >= limit and newest[limit - 1] > last:
+                break
+            if name in self.own and len(self.entries) < self.MOST:
+                continue
+            for line in self.store.read("history", name).decode().splitlines():
+                e = Entry(**json.loads(line))
+                if fits(e):
+                    found.setdefault(e.id, e)
+        return sorted(found.values(), key=lambda e: e.started_at, reverse=True)[:limit]
 
     def clear(self, older_than: float) -> int:
+        """Forgets queries that began earlier; of written files those that are wholly older."""
+        self.flush()
+        gone: set[str] = set()
+        for last, name in self._files():
+            if last < older_than:
+                gone |= {json.loads(x)["id"] for x in self.store.read("history", name).decode().splitlines()}
+                self.store.delete("history", name)
         with self.lock:
-            before = len(self.entries)
-            self.entries = [e for e in self.entries if e.started_at >= older_than]
-            return before - len(self.entries)
+            gone |= {e.id for e in self.entries if e.started_at < older_than}
+            self.entries = deque((e for e in self.entries if e.id not in gone), maxlen=self.MOST)
+        return len(gone)
 
     def frame(self, spark, session: str | None = None, limit: int = 100):
         return spark.createDataFrame([tuple(vars(e).values()) for e in self.list(session, limit)], self.COLUMNS)
 
 
+def _flushed(ref):
+    """Flushes a history that is still alive, if its store still is."""
+
+    def run() -> None:
+        try:
+            if history := ref():
+                history.flush()
+        except Exception:  # the session may be gone already
+            pass
+
+    return run
+
+
 SIZES = ("X-SMALL", "SMALL", "MEDIUM", "LARGE", "X-LARGE", "2X-LARGE", "3X-LARGE", "4X-LARGE", "5X-LARGE", "6X-LARGE")
 
 

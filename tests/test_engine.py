@@ -42,6 +42,35 @@ def test_changes(shop, rows):
     assert shop.execute("INSERT OVERWRITE INTO orders SELECT 1, 2, 3, '2024-01-01', 'x'").affected == 1
 
 
+def test_changes_by_other_tables(session, rows):
+    session.execute("CREATE TABLE stock (sku INTEGER, qty INTEGER, place VARCHAR)")
+    session.execute("INSERT INTO stock VALUES (1, 10, 'a'), (2, 20, 'b')")
+    session.execute("INSERT INTO stock VALUES (3, 30, 'c'), (3, 31, 'd')")
+    session.execute("CREATE TABLE sold (sku INTEGER, n INTEGER)")
+    session.execute("INSERT INTO sold VALUES (1, 4), (3, 5), (9, 9), (NULL, 1)")
+    session.execute("CREATE TABLE shops (place VARCHAR, city VARCHAR)")
+    session.execute("INSERT INTO shops VALUES ('a', 'x'), ('c', 'y')")
+    assert session.execute("UPDATE stock AS s SET s.qty = s.qty - o.n, place = IFF(o.n > 4, 'z', s.place) FROM sold o WHERE s.sku = o.sku AND o.n > :1", [3]).affected == 3
+    assert rows("SELECT * FROM stock ORDER BY sku, qty") == [(1, 6, "a"), (2, 20, "b"), (3, 25, "z"), (3, 26, "z")]
+    assert session.execute("UPDATE stock SET place = p.city FROM sold JOIN (SELECT * FROM shops WHERE city <> 'y') p ON sold.n = 4 WHERE stock.place = p.place").affected == 1
+    assert rows("SELECT place FROM stock WHERE sku = 1") == [("x",)]
+    assert session.execute("UPDATE stock SET qty = 0 FROM sold WHERE sold.sku = stock.sku AND sold.n > 100").affected == 0
+    session.execute("INSERT INTO sold VALUES (2, 1), (2, 2)")
+    assert session.execute("UPDATE stock SET qty = sold.n FROM sold WHERE sold.sku = stock.sku AND stock.sku = 2").affected == 1
+    assert rows("SELECT qty IN (1, 2) FROM stock WHERE sku = 2") == [(True,)]
+    assert session.execute("DELETE FROM stock s USING sold o, shops p WHERE s.sku = o.sku AND o.n = 5 AND p.city = 'y' AND s.qty = 25").affected == 1
+    assert session.execute("DELETE FROM stock USING sold WHERE stock.sku = sold.sku AND sold.n > 4").affected == 1
+    assert rows("SELECT sku FROM stock ORDER BY sku") == [(1,), (2,)]
+
+
+def test_a_condition_is_computed_once(session, rows):
+    session.execute("CREATE TABLE t AS SELECT id FROM RANGE(2000)")
+    n = session.execute("UPDATE t SET id = -1 WHERE RAND() < 0.5").affected
+    assert 0 < n < 2000 and rows("SELECT COUNT(*), COUNT_IF(id = -1) FROM t") == [(2000, n)]
+    gone = session.execute("DELETE FROM t WHERE RAND() < 0.5").affected
+    assert rows("SELECT COUNT(*) FROM t") == [(2000 - gone,)]
+
+
 def test_only_touched_files_are_rewritten(shop):
     for i in (10, 11, 12):
         shop.execute(f"INSERT INTO customers (customer_id, name) VALUES ({i}, 'n{i}')")
@@ -106,6 +135,50 @@ def test_catalog_survives(spark, tmp_path):
     assert two.query("SELECT a, VARIANT_GET(b, '$[0]', 'int') FROM t").collect() == [(1, 1)]
 
 
+def test_two_engines_on_one_warehouse(spark, tmp_path):
+    at = str(tmp_path / "shared")
+    one = Engine(spark, at).session()
+    one.execute("CREATE TABLE t (a INTEGER, b INTEGER)")
+    one.execute("INSERT INTO t VALUES (1, 1), (2, 2)")
+    two = Engine(spark, at).session()
+    one.execute("INSERT INTO t VALUES (3, 3)")
+    two.execute("INSERT INTO t VALUES (4, 4)")
+    two.execute("CREATE TABLE u (a INTEGER)")
+    for s in (one, two, Engine(spark, at).session()):
+        assert sorted(map(tuple, s.query("SELECT * FROM t").collect())) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+        assert s.query("SELECT COUNT(*) FROM u").first()[0] == 0
+    # both have begun before either commits
+    one.execute("BEGIN")
+    one.execute("DELETE FROM t WHERE a = 1")
+    two.execute("INSERT INTO t VALUES (5, 5)")
+    with pytest.raises(Conflict):
+        one.execute("COMMIT")
+    # a commit that was claimed between reading and writing
+    key = one.key(["t"])
+    before = one.view.get(key)
+    two.execute("DELETE FROM t WHERE a = 2")
+    with pytest.raises(Conflict):
+        one.view.put(key, before, None)
+    one.execute("DROP TABLE u")
+    with pytest.raises(NotFound):
+        two.query("SELECT * FROM u")
+    assert two.query("SELECT COUNT(*) FROM t").first()[0] == 4
+
+
+def test_log_is_folded(spark, tmp_path, monkeypatch):
+    from heronbase.sources import catalog
+
+    monkeypatch.setattr(catalog, "CHECKPOINT", 3)
+    engine = Engine(spark, str(tmp_path / "w"))
+    for i in range(8):
+        engine.catalog.create_database(f"d{i}", comment="c")
+    engine.catalog.comment_database("d3", "other")
+    engine.catalog.drop_database("d4")
+    names = [d.name for d in Engine(spark, str(tmp_path / "w")).catalog.list_databases()]
+    assert names == ["D0", "D1", "D2", "D3", "D5", "D6", "D7", "TEST_DB"]
+    assert Engine(spark, str(tmp_path / "w")).catalog.database("d3").comment == "other"
+
+
 MERGE = """MERGE INTO shelves AS w
 USING (SELECT sku, LOWER(label) AS label, qty, gone FROM deliveries) AS d
 ON w.sku = d.sku
@@ -278,7 +351,10 @@ def test_history_and_handles(session):
     with pytest.raises(NotFound):
         session.execute("SELECT * FROM nowhere")
     assert [e.status for e in history.list(session.id)] == ["FAILED", "SUCCESS"]
-    assert history.clear(1e18) == 2
+    history.flush()
+    later = Engine(session.spark, session.engine.catalog.store.root).history
+    assert [e.status for e in later.list(session.id)] == ["FAILED", "SUCCESS"] and len(later.list(limit=1)) == 1
+    assert history.clear(1e18) == 2 and later.list() == []
     h = statements.create("SELECT 1")
     assert h.id.startswith("01") and len(h.id) == 34 and statements.running(h.id).status == "running"
     assert statements.cancel(h.id).status == "canceled" and statements.succeeded(h.id, 1).status == "canceled"
