@@ -9,7 +9,7 @@ import sys
 import tempfile
 import time
 
-HEADLINE = ("flagship", "agg_group", "agg_rollup", "agg_listagg", "join_three", "join_semi", "window_rank", "window_qualify", "topk", "cte", "fn_datediff_month", "fn_parse_json", "set_union", "correlated_subquery", "dml_update", "dml_merge")
+HEADLINE = ("flagship", "agg_group", "agg_rollup", "agg_listagg", "join_three", "join_semi", "window_rank", "window_qualify", "topk", "cte", "fn_datediff_month", "fn_parse_json", "set_union", "correlated_subquery", "dml_update", "dml_merge", "join_asof", "dml_update_large", "dml_merge_large")
 RUNS = 3
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronbase import functions as D
+from heronbase.errors import EngineError
+from heronbase.operators.asof import asof_join
 from heronbase.session import Engine, Session
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -185,7 +187,7 @@ same("set_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_
 same("set_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 same("cte", "WITH big AS (SELECT o_custkey, SUM(o_totalprice) AS t FROM orders GROUP BY o_custkey), top AS (SELECT * FROM big WHERE t > 1000000) SELECT c.c_name, ROUND(top.t, 2) AS t FROM top JOIN customer c ON c.c_custkey = top.o_custkey")
 same("derived_table", "SELECT s, COUNT(*) AS n FROM (SELECT o_orderstatus AS s FROM orders WHERE o_totalprice > 50000) x GROUP BY s")
-same("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) * 2 FROM orders)")
+same("scalar_subquery", "SELECT o_orderkey, ROUND(o_totalprice - (SELECT AVG(o_totalprice) FROM orders), 2) AS above FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) * 1.5 FROM orders)")
 same("correlated_subquery", "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT AVG(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)")
 same("in_subquery", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 same("pivoted", "SELECT l_returnflag, CAST(SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS o, CAST(SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS f FROM lineitem GROUP BY l_returnflag")
@@ -195,12 +197,38 @@ dialect("unpivot", "SELECT * FROM (SELECT o_orderkey, CAST(o_custkey AS BIGINT)
 same("recursive_cte", "WITH RECURSIVE up(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM up WHERE n < 20) SELECT n, total FROM up")
 same("join_natural", "SELECT COUNT(*) AS n FROM (SELECT n_nationkey AS k FROM nation) a NATURAL JOIN (SELECT s_nationkey AS k FROM supplier) b")
 same("join_range", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR")
-dialect("join_asof", "SELECT e.event_id, o.event_id AS last_view FROM events e LEFT JOIN events o ON o.user_id = e.user_id AND o.event_type = 'view' AND o.ts < e.ts QUALIFY ROW_NUMBER() OVER (PARTITION BY e.event_id ORDER BY o.ts DESC, o.event_id DESC) = 1", "SELECT e.event_id, o.event_id AS last_view FROM events e LEFT JOIN events o ON o.user_id = e.user_id AND o.event_type = 'view' AND o.ts < e.ts QUALIFY ROW_NUMBER() OVER (PARTITION BY e.event_id ORDER BY o.ts DESC NULLS LAST, o.event_id DESC NULLS LAST) = 1")
+_ASOF = "SELECT e.event_id, o.event_id AS last_view FROM events e LEFT JOIN events o ON o.user_id = e.user_id AND o.event_type = 'view' AND o.ts < e.ts QUALIFY ROW_NUMBER() OVER (PARTITION BY e.event_id ORDER BY o.ts DESC NULLS LAST, o.event_id DESC NULLS LAST) = 1"
+# both sides in one sorted list: at equal times the rows that ask stand before those that answer
+dialect("join_asof", """
+SELECT event_id, last_view FROM (
+  SELECT event_id, asks, LAST_VALUE(view_id) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, asks DESC, view_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_view
+  FROM (SELECT event_id, user_id, ts, 1 AS asks, NULL::BIGINT AS view_id FROM events UNION ALL SELECT NULL, user_id, ts, 0, event_id FROM events WHERE event_type = 'view') x
+) y WHERE asks = 1
+""", _ASOF)
 same("window_ntile", "SELECT o_orderkey, NTILE(4) OVER (ORDER BY o_totalprice, o_orderkey) AS q, ROUND(CUME_DIST() OVER (ORDER BY o_totalprice, o_orderkey), 9) AS c, ROUND(PERCENT_RANK() OVER (ORDER BY o_totalprice, o_orderkey), 9) AS p FROM orders")
 same("window_range", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY CAST(EXTRACT(day FROM ts) AS BIGINT) RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM events")
 same("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 same("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
-same("agg_any_array", "SELECT n_regionkey, MIN(n_name) AS a, MAX(n_name) AS z, COUNT(DISTINCT n_name) AS n, COUNT(n_name) AS m FROM nation GROUP BY n_regionkey")
+dialect("agg_any_array", "SELECT n_regionkey, ANY_VALUE(n_regionkey) AS a, ARRAY_TO_STRING(ARRAY_SORT(ARRAY_AGG(n_name)), ',') AS names, ARRAY_SIZE(ARRAY_AGG(DISTINCT n_name)) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, ANY_VALUE(n_regionkey) AS a, ARRAY_TO_STRING(LIST_SORT(ARRAY_AGG(n_name)), ',') AS names, CAST(len(ARRAY_AGG(DISTINCT n_name)) AS INTEGER) AS n FROM nation GROUP BY n_regionkey")
+dialect("agg_approx", "SELECT event_type, ABS(APPROX_COUNT_DISTINCT(user_id) - COUNT(DISTINCT user_id)) <= 0.15 * COUNT(DISTINCT user_id) + 1 AS near, ABS(APPROX_QUANTILE(value, 0.5) - MEDIAN(value)) <= STDDEV(value) AS mid FROM events GROUP BY event_type", "SELECT DISTINCT event_type, true AS near, true AS mid FROM events")
+same("agg_percentile", "SELECT event_type, ROUND(PERCENTILE_CONT(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90, CAST(PERCENTILE_DISC(0.5) WITHIN GROUP (ORDER BY event_id) AS BIGINT) AS d50 FROM events GROUP BY event_type")
+same("agg_filter", "SELECT o_orderstatus, COUNT(*) FILTER (WHERE o_totalprice > 100000) AS n FROM orders GROUP BY o_orderstatus")
+same("agg_distinct_mixed", "SELECT o_orderstatus, COUNT(DISTINCT o_custkey) AS c, ROUND(AVG(o_totalprice), 4) AS a, MIN(o_orderdate) AS lo, MAX(o_orderdate) AS hi FROM orders GROUP BY o_orderstatus")
+same("agg_grouping", "SELECT l_returnflag, l_linestatus, CAST(GROUPING(l_returnflag) AS BIGINT) AS gr, CAST(GROUPING(l_linestatus) AS BIGINT) AS gl, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+same("agg_grouping_id", "SELECT l_returnflag, l_linestatus, CAST(GROUPING_ID(l_returnflag, l_linestatus) AS BIGINT) AS g, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+dialect("sort_fetch", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 10 ROWS FETCH NEXT 20 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10")
+same("filter_ilike", "SELECT p_partkey FROM part WHERE p_name ILIKE '%A%1%' OR p_brand ILIKE 'brand#1_'")
+same("fn_try_cast", "SELECT p_partkey, TRY_CAST(SPLIT_PART(p_brand, '#', 2) AS INTEGER) AS n, TRY_CAST(p_brand AS INTEGER) AS bad FROM part")
+same("fn_date_trunc", "SELECT event_id, CAST(DATE_TRUNC('month', ts) AS TIMESTAMP) AS m, CAST(DATE_TRUNC('hour', ts) AS TIMESTAMP) AS h, CAST(DATE_TRUNC('week', ts) AS TIMESTAMP) AS w FROM events")
+dialect("fn_to_char", "SELECT event_id, TO_CHAR(ts, 'YYYY-MM-DD HH24:MI:SS') AS d, TO_VARCHAR(ts, 'DD/MM/YY') AS e FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS d, strftime(ts, '%d/%m/%y') AS e FROM events")
+same("fn_string_more", "SELECT c_custkey, RPAD(c_mktsegment, 12, '.') AS r, CONCAT(UPPER(SUBSTR(c_mktsegment, 1, 1)), LOWER(SUBSTR(c_mktsegment, 2, 20))) AS t, LTRIM(c_name) AS l, STARTS_WITH(c_name, 'C') AS s, ASCII(c_name) AS a, REPEAT('x', 3) AS x, LEFT(c_name, 3) AS le, RIGHT(c_name, 3) AS ri FROM customer")
+same("fn_math_more", "SELECT l_orderkey, l_linenumber, ROUND(LN(l_quantity), 6) AS ln, ROUND(LOG10(l_quantity), 6) AS lg, ROUND(EXP(l_tax), 6) AS e, ROUND(SIN(l_quantity) + COS(l_quantity) + ATAN2(l_tax, l_quantity), 6) AS t, SIGN(l_tax - l_discount) AS s, GREATEST(l_tax, l_discount) AS g, LEAST(l_tax, l_discount) AS le FROM lineitem")
+same("window_nth", "SELECT event_id, NTH_VALUE(event_type, 2) OVER w AS second, LAST_VALUE(event_id) OVER w AS last, LEAD(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+dialect("fn_array", "SELECT p_partkey, ARRAY_CONTAINS(SPLIT(p_name, ' '), 'green') AS g, ARRAY_TO_STRING(SLICE(SPLIT(p_name, ' '), 1, 2), '+') AS two, ARRAY_SIZE(SPLIT(p_name, ' ')) AS n, ELEMENT_AT(ARRAY(p_size, 7, p_size), 1) AS first, ARRAY_TO_STRING(ARRAY_SORT(ARRAY_DISTINCT(ARRAY(p_size, 7, p_size))), ',') AS s FROM part", "SELECT p_partkey, list_contains(string_split(p_name, ' '), 'green') AS g, array_to_string(string_split(p_name, ' ')[1:2], '+') AS two, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n, [p_size, 7, p_size][1] AS first, array_to_string(list_sort(list_distinct([p_size, 7, p_size])), ',') AS s FROM part")
+dialect("fn_map_struct", "SELECT n_nationkey, MAP('k', n_name, 'r', 'x')['k'] AS v, ELEMENT_AT(MAP('k', n_name), 'none') AS missing, NAMED_STRUCT('a', n_regionkey, 'b', n_name).a AS a, ARRAY_TO_STRING(MAP_KEYS(MAP('k', 1, 'l', 2)), '') AS keys FROM nation", "SELECT n_nationkey, MAP {'k': n_name, 'r': 'x'}['k'] AS v, CAST(NULL AS VARCHAR) AS missing, struct_pack(a := n_regionkey, b := n_name).a AS a, 'kl' AS keys FROM nation")
+dialect("fn_json", "SELECT event_id, GET_JSON_OBJECT(props, '$.k') AS k, SCHEMA_OF_VARIANT(PARSE_JSON(props):k) AS kind, ARRAY_TO_STRING(JSON_OBJECT_KEYS(props), ',') AS keys FROM events", "SELECT event_id, props::JSON->>'$.k' AS k, CASE json_type(props::JSON, '$.k') WHEN 'UBIGINT' THEN 'BIGINT' ELSE json_type(props::JSON, '$.k') END AS kind, array_to_string(json_keys(props), ',') AS keys FROM events")
+dialect("sample_share", "SELECT COUNT(*) BETWEEN 0.2 * (SELECT COUNT(*) FROM lineitem) AND 0.4 * (SELECT COUNT(*) FROM lineitem) AS near FROM lineitem SAMPLE (30)", "SELECT true AS near")
+dialect("sample_rows", "SELECT COUNT(*) AS n, COUNT(DISTINCT s.l_orderkey) > 1 AS several FROM lineitem AS s TABLESAMPLE (50 ROWS) JOIN orders o ON o.o_orderkey = s.l_orderkey", "SELECT 50::BIGINT AS n, true AS several")
 dialect("fn_regexp", "SELECT p_partkey, REGEXP_REPLACE(p_brand, '[0-9]', 'x') AS b, SPLIT_PART(p_name, ' ', 1) AS w, REVERSE(p_brand) AS r, CAST(POSITION('#' IN p_brand) AS BIGINT) AS place FROM part", "SELECT p_partkey, REGEXP_REPLACE(p_brand, '[0-9]', 'x', 'g') AS b, SPLIT_PART(p_name, ' ', 1) AS w, REVERSE(p_brand) AS r, CAST(POSITION('#' IN p_brand) AS BIGINT) AS place FROM part")
 
 # -- bindings ---------------------------------------------------------------------------------------------------
@@ -215,6 +243,13 @@ _COPY = "CREATE TABLE s AS SELECT * FROM supplier"
 script("dml_insert", ["CREATE TABLE n (k INTEGER PRIMARY KEY, name VARCHAR(25), r INTEGER DEFAULT 9)", "INSERT INTO n SELECT n_nationkey, n_name, n_regionkey FROM nation", "INSERT INTO n (name, k) VALUES ('ATLANTIS', 100), ('MU', 101)"], "SELECT k, name, r FROM n", "SELECT n_nationkey AS k, n_name AS name, n_regionkey AS r FROM nation UNION ALL VALUES (100, 'ATLANTIS', 9), (101, 'MU', 9)")
 script("dml_update", [_COPY, "UPDATE s SET s_acctbal = IFF(s_acctbal < 0, 0, s_acctbal * 2), s_name = CONCAT(s_name, '!') WHERE s_nationkey IN (1, 2, 3)"], _ALL, "SELECT s_suppkey, CASE WHEN s_nationkey IN (1, 2, 3) THEN CONCAT(s_name, '!') ELSE s_name END AS s_name, s_nationkey, CASE WHEN s_nationkey IN (1, 2, 3) THEN IF(s_acctbal < 0, 0, s_acctbal * 2) ELSE s_acctbal END AS s_acctbal FROM supplier")
 script("dml_delete", [_COPY, "DELETE FROM s WHERE s_acctbal < 1000"], _ALL, "SELECT * FROM supplier WHERE NOT s_acctbal < 1000")
+script("dml_update_from", [_COPY, "UPDATE s SET s_acctbal = s.s_acctbal + n.n_regionkey, s_name = n.n_name FROM nation n WHERE n.n_nationkey = s.s_nationkey AND n.n_regionkey > 1"], _ALL, "SELECT s_suppkey, CASE WHEN n_regionkey > 1 THEN n_name ELSE s_name END AS s_name, s_nationkey, CASE WHEN n_regionkey > 1 THEN s_acctbal + n_regionkey ELSE s_acctbal END AS s_acctbal FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
+script("dml_delete_using", [_COPY, "DELETE FROM s USING nation n, region r WHERE n.n_nationkey = s.s_nationkey AND n.n_regionkey = r.r_regionkey AND r.r_regionkey < 2"], _ALL, "SELECT supplier.* FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey IS NULL OR n_regionkey >= 2")
+_LINES = "CREATE TABLE l AS SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem"
+script("dml_update_large", [_LINES, "UPDATE l SET l_quantity = l_quantity + 1, l_returnflag = 'Z' WHERE l_orderkey % 3 = 0"], "SELECT l_returnflag, COUNT(*) AS n, CAST(SUM(l_quantity) AS BIGINT) AS q FROM l GROUP BY l_returnflag", "SELECT IF(l_orderkey % 3 = 0, 'Z', l_returnflag) AS l_returnflag, COUNT(*) AS n, CAST(SUM(IF(l_orderkey % 3 = 0, l_quantity + 1, l_quantity)) AS BIGINT) AS q FROM lineitem GROUP BY 1")
+script("dml_merge_large", [_LINES, "MERGE INTO l USING (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 0) o ON l.l_orderkey = o.o_orderkey WHEN MATCHED AND o.o_custkey % 2 = 0 THEN DELETE WHEN MATCHED THEN UPDATE SET l_quantity = 0"], "SELECT COUNT(*) AS n, CAST(SUM(l_quantity) AS BIGINT) AS q FROM l", "SELECT COUNT(*) AS n, CAST(SUM(IF(o_orderkey IS NULL, l_quantity, 0)) AS BIGINT) AS q FROM lineitem LEFT JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 5 = 0) ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL OR o_custkey % 2 <> 0")
+script("ddl_view", ["CREATE VIEW big AS SELECT c_custkey, IFF(c_acctbal > 5000, 'y', 'n') AS rich FROM customer"], "SELECT rich, COUNT(*) AS n FROM big GROUP BY rich", "SELECT IF(c_acctbal > 5000, 'y', 'n') AS rich, COUNT(*) AS n FROM customer GROUP BY 1")
+script("show_schemas", ["CREATE DATABASE d", "CREATE SCHEMA d.a COMMENT = 'x'"], "SHOW SCHEMAS IN DATABASE d", "SELECT * FROM (VALUES ('A', 'D', 'x'), ('PUBLIC', 'D', '')) AS t(name, database_name, comment)")
 script("dml_truncate", [_COPY, "TRUNCATE TABLE s"], "SELECT COUNT(*) AS n FROM s", "SELECT 0::BIGINT AS n")
 script("dml_merge", [_COPY, """
 MERGE INTO s AS t USING (SELECT s_suppkey AS k, s_nationkey AS n, CONCAT('new ', s_name) AS name FROM supplier WHERE s_suppkey % 3 = 0
@@ -236,20 +271,69 @@ script("copy_csv", ["CREATE STAGE st", "COPY INTO @st/regions FROM region FILE_F
 script("copy_parquet", ["CREATE STAGE st", "COPY INTO @st/n FROM nation FILE_FORMAT = (TYPE = PARQUET)", "CREATE TABLE r (n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER)", "COPY INTO r FROM @st/n PATTERN = '*.parquet' FILE_FORMAT = (TYPE = PARQUET)"], "SELECT n_nationkey, n_name, n_regionkey FROM r", "SELECT * FROM nation")
 
 
-def _copy_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loads(name: str, files: dict[str, str], statements: list[str], query: str, oracle: str, fails: str = "") -> None:
+    """COPY of staged files of fixed content; with ``fails``, the last statement must raise that kind of error."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = opened(spark, sf_dir)
+        session.execute("CREATE STAGE st")
+        for file, text in files.items():
+            session.engine.stages.put(session.database, session.schema, "st", file, text.encode())
+        for s in statements[:-1] if fails else statements:
+            session.execute(s)
+        kind = ""
+        if fails:
+            try:
+                session.execute(statements[-1])
+            except EngineError as e:
+                kind = type(e).__name__
+        out = session.query(query)
+        return out.withColumn("error", F.lit(kind)) if fails else out
+
+    QUERIES[name], SQL[name] = run, oracle
+
+
+_T = "CREATE TABLE t (id INTEGER, name VARCHAR)"
+_ROWS = "SELECT id, name FROM t"
+loads("copy_json", {"a.json": '[{"id": 1, "name": "x"}, {"id": 2}, 7]'}, ["CREATE TABLE j (data VARIANT)", "COPY INTO j FROM @st FILE_FORMAT = (TYPE = JSON STRIP_OUTER_ARRAY = TRUE)"], "SELECT data:id::INTEGER AS id, data:name::VARCHAR AS name FROM j", "SELECT * FROM (VALUES (1, 'x'), (2, NULL)) t(id, name)")
+loads("copy_json_multiline", {"a.json": '[\n {"id": 1,\n  "name": "x"},\n\n {"id": 2}\n]\n', "b.json": '{\n "id": 3\n}'}, ["CREATE TABLE j (data VARIANT)", "COPY INTO j FROM @st FILE_FORMAT = (TYPE = JSON STRIP_OUTER_ARRAY = TRUE)"], "SELECT data:id::INTEGER AS id, data:name::VARCHAR AS name FROM j", "SELECT * FROM (VALUES (1, 'x'), (2, NULL), (3, NULL)) t(id, name)")
+loads("copy_json_array_wrapped", {"a.json": '[\n {"id": 1},\n 7, "s"]'}, ["CREATE TABLE j (data VARCHAR)", "COPY INTO j FROM @st FILE_FORMAT = (TYPE = JSON)"], "SELECT data FROM j", """SELECT * FROM (VALUES ('{"$1":{"id":1}}'), ('{"$1":7}'), ('{"$1":"s"}')) t(data)""")
+loads("copy_csv_skip_header", {"a.csv": 'made by,"hand\nand eye"\nid,name\n1,a\n2,"b\nc"\n', "b.csv": "x\nid,name\n3,d\n"}, [_T, "COPY INTO t FROM @st FILE_FORMAT = (TYPE = CSV SKIP_HEADER = 2)"], _ROWS, "SELECT * FROM (VALUES (1, 'a'), (2, 'b' || chr(10) || 'c'), (3, 'd')) t(id, name)")
+loads("copy_csv_options", {"a.csv": " 1 | NA \n2|-\n", "sub/b.csv": "3|x\n", "c.txt": "9|no\n"}, [_T, "COPY INTO t FROM @st PATTERN='*.csv' FILE_FORMAT=(TYPE = CSV, FIELD_DELIMITER='|' NULL_IF = ('NA', '-') TRIM_SPACE=TRUE) PURGE = TRUE"], _ROWS, "SELECT * FROM (VALUES (1, NULL), (2, NULL), (3, 'x')) t(id, name)")
+loads("copy_csv_dates", {"a.csv": "31.12.2023,2024-01-02 03:04:05\n"}, ["CREATE TABLE t (d DATE, ts TIMESTAMP)", "COPY INTO t FROM @st FILE_FORMAT = (TYPE = CSV DATE_FORMAT = 'DD.MM.YYYY' TIMESTAMP_FORMAT = 'YYYY-MM-DD HH24:MI:SS')"], "SELECT CAST(d AS VARCHAR) AS d, ts FROM t", "SELECT '2023-12-31' AS d, TIMESTAMP '2024-01-02 03:04:05' AS ts")
+loads("copy_on_error", {"a.csv": "1,a\n", "b.csv": "x,b\n", "c.csv": "3,c\n"}, [_T, "COPY INTO t FROM @st ON_ERROR = SKIP_FILE"], _ROWS, "SELECT * FROM (VALUES (1, 'a'), (3, 'c')) t(id, name)")
+loads("copy_abort", {"a.csv": "1,a\n", "b.csv": "x,b\n"}, [_T, "COPY INTO t FROM @st"], "SELECT COUNT(*) AS n FROM t", "SELECT 0::BIGINT AS n, 'EngineError' AS error", "EngineError")
+loads("copy_files", {"a.csv": "1,a\n", "b.csv": "2,b\n", "in/c.csv": "3,c\n"}, [_T, "CREATE FILE FORMAT f TYPE = CSV", "COPY INTO t FROM @st FILES = ('b.csv') FILE_FORMAT = (FORMAT_NAME = 'f')", "COPY INTO t FROM @st/in FILE_FORMAT = f"], _ROWS, "SELECT * FROM (VALUES (2, 'b'), (3, 'c')) t(id, name)")
+loads("copy_validate", {"a.csv": "1,a\n"}, [_T, "COPY INTO t FROM @st VALIDATION_MODE = RETURN_ERRORS"], "SELECT COUNT(*) AS n FROM t", "SELECT 0::BIGINT AS n")
+loads("dml_merge_duplicate", {}, [_T, "INSERT INTO t VALUES (1, 'a')", "MERGE INTO t USING (SELECT 1 AS id, n_name FROM nation) s ON t.id = s.id WHEN MATCHED THEN UPDATE SET name = s.n_name"], _ROWS, "SELECT 1 AS id, 'a' AS name, 'DuplicateMatch' AS error", "DuplicateMatch")
+loads("dml_not_null", {}, ["CREATE TABLE t (id INTEGER NOT NULL, name VARCHAR)", "INSERT INTO t VALUES (1, 'a')", "INSERT INTO t SELECT NULLIF(n_nationkey, 3), n_name FROM nation"], _ROWS, "SELECT 1 AS id, 'a' AS name, 'EngineError' AS error", "EngineError")
+
+
+def _readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that COPY has unloaded, read by the table functions."""
     session = opened(spark, sf_dir)
     session.execute("CREATE STAGE st")
-    rows = session.query("SELECT r_regionkey, r_name FROM region").toJSON().collect()  # a fixed table of five rows
-    session.engine.stages.put(session.database, session.schema, "st", "regions.json", f"[{','.join(rows)}, 7]".encode())
-    session.execute("CREATE TABLE j (data VARIANT)")
-    session.execute("COPY INTO j FROM @st FILE_FORMAT = (TYPE = JSON STRIP_OUTER_ARRAY = TRUE)")
-    return session.query("SELECT data:r_regionkey::INTEGER AS r_regionkey, data:r_name::VARCHAR AS r_name FROM j")
+    for kind in ("csv", "json", "parquet"):
+        session.execute(f"COPY INTO @st/{kind} FROM nation FILE_FORMAT = (TYPE = {kind}{' SKIP_HEADER = 1' * (kind == 'csv')})")
+    at = session.engine.stages.directory(session.database, session.schema, "st")
+    of = [f"SELECT '{k}' AS kind, n_nationkey, n_name FROM READ_{k}('{at}/{k}') x WHERE n_regionkey = 1" for k in ("csv", "json", "parquet")]
+    return session.query(" UNION ALL ".join(of))
 
 
-QUERIES["copy_json"], SQL["copy_json"] = _copy_json, "SELECT r_regionkey, r_name FROM region"
+QUERIES["scan_files"], SQL["scan_files"] = _readers, "SELECT kind, n_nationkey, n_name FROM nation, (VALUES ('csv'), ('json'), ('parquet')) k(kind) WHERE n_regionkey = 1"
 script("show_tables", [_COPY, "CREATE TABLE a (x INTEGER)"], "SHOW TABLES", "SELECT * FROM (VALUES ('A', 'TEST_DB', 'PUBLIC', 'BASE TABLE', 1, ''), ('S', 'TEST_DB', 'PUBLIC', 'BASE TABLE', 4, '')) AS t(name, database_name, schema_name, kind, columns, comment)")
-script("describe_table", ["CREATE TABLE d (id INTEGER PRIMARY KEY, name VARCHAR(20) NOT NULL, v NUMBER(10,2) DEFAULT 1)"], "DESCRIBE TABLE d", None)
-script("explain", [], "EXPLAIN SELECT IFF(r_regionkey > 1, 'a', 'b') AS x FROM region", None)
+script("describe_table", ["CREATE TABLE d (id INTEGER PRIMARY KEY, name VARCHAR(20) NOT NULL, v NUMBER(10,2) DEFAULT 1)"], "DESCRIBE TABLE d", """SELECT * FROM (VALUES ('ID', 'INTEGER', 'Y', NULL, 'Y'), ('NAME', 'VARCHAR(20)', 'N', NULL, 'N'), ('V', 'NUMBER(10,2)', 'Y', '1', 'N')) AS t(name, type, "null?", "default", "primary key")""")
+dialect("describe_frame", "DESC nation", """SELECT * FROM (VALUES ('n_nationkey', 'int', 'Y', CAST(NULL AS VARCHAR), 'N'), ('n_name', 'string', 'Y', NULL, 'N'), ('n_regionkey', 'int', 'Y', NULL, 'N')) AS t(name, type, "null?", "default", "primary key")""")
+
+
+def _explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan's text is Spark's, without any name of the dialect's own."""
+    plan = opened(spark, sf_dir).query("EXPLAIN SELECT IFF(r_regionkey > 1, 'a', 'b') AS x FROM region QUALIFY ROW_NUMBER() OVER (ORDER BY r_name) = 1")
+    text = F.upper("plan")
+    return plan.select(text.contains("PHYSICAL PLAN").alias("has_plan"), text.contains("PARQUET").alias("scans_files"), (text.contains("IFF(") | text.contains("QUALIFY")).alias("has_dialect"))
+
+
+QUERIES["explain"], SQL["explain"] = _explain, "SELECT true AS has_plan, true AS scans_files, false AS has_dialect"
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,3 +372,10 @@ def _df_aggregates(t):
 @frames("df_flatten", "SELECT vec_id, COUNT(*) AS n FROM (SELECT vec_id, UNNEST(embedding) AS x FROM embeddings) WHERE x > 0 GROUP BY vec_id")
 def _df_flatten(t):
     return t("embeddings").select("vec_id", D.flatten("embedding").alias("x")).where("x > 0").groupBy("vec_id").agg(F.count("*").alias("n"))
+
+
+@frames("df_asof", _ASOF)
+def _df_asof(t):
+    events = t("events")
+    views = events.where("event_type = 'view'").select("user_id", "ts", "event_id")
+    return asof_join(events, views, ["user_id"], "ts", "ts", ["event_id"], strict=True).select("event_id", F.col("match.event_id").alias("last_view"))

@@ -102,19 +102,60 @@ def _flatten(a: Args) -> str | None:
     return f"explode({spell(a[0])})" if len(a) == 1 else None
 
 
+def _array_to_string(a: Args) -> str | None:
+    return f"array_join(cast({spell(a[0])} as array<string>), {spell(a[1])})" if len(a) == 2 else None
+
+
+#: The dialect's date pictures and Java's.
+PICTURES = (("YYYY", "yyyy"), ("YY", "yy"), ("HH24", "HH"), ("HH12", "hh"), ("MI", "mm"), ("SS", "ss"), ("FF3", "SSS"), ("FF6", "SSSSSS"), ("FF9", "SSSSSSSSS"), ("FF", "SSS"), ("MON", "MMM"), ("DD", "dd"), ("DY", "EEE"), ("AM", "a"), ("PM", "a"))
+
+
+def date_picture(text: str) -> str:
+    """A date picture as Java's; what it does not know stays."""
+    out, i = "", 0
+    while i < len(text):
+        short, java = next(((a, b) for a, b in PICTURES if text.startswith(a, i)), (text[i], text[i]))
+        out, i = out + java, i + len(short)
+    return out
+
+
+def _to_char(a: Args) -> str | None:
+    """Dates by a picture; pictures of numbers are Spark's own."""
+    if len(a) == 1:
+        return f"cast({spell(a[0])} as string)"
+    if len(a) == 2 and len(a[1]) == 1 and a[1][0].kind == "string":
+        picture = a[1][0].value
+        if "HH24" in picture or "HH12" in picture or not set(picture) & set("09$"):
+            return f"date_format({spell(a[0])}, {literal(date_picture(picture))})"
+    return None
+
+
+def _renamed(name: str) -> Callable[[Args], str | None]:
+    return lambda a: f"{name}({', '.join(map(spell, a))})"
+
+
 FUNCTIONS: dict[str, Callable[[Args], str | None]] = {
     "IFF": _iff, "DATEADD": _dateadd, "DATEDIFF": _datediff, "TO_VARIANT": _to_variant, "OBJECT_CONSTRUCT": _object_construct,
-    "CONCAT": _concat, "SUBSTR": _substr, "SUBSTRING": _substr, "FLATTEN": _flatten,
+    "CONCAT": _concat, "SUBSTR": _substr, "SUBSTRING": _substr, "FLATTEN": _flatten, "ARRAY_TO_STRING": _array_to_string, "TO_CHAR": _to_char, "TO_VARCHAR": _to_char,
+    # names that the engine behind the dialect has for what Spark calls otherwise
+    "LIST_CONTAINS": _renamed("array_contains"), "LIST_SORT": _renamed("array_sort"), "LIST_DISTINCT": _renamed("array_distinct"), "LIST_VALUE": _renamed("array"), "ARRAY_LENGTH": _renamed("size"),
+    "LIST": _renamed("collect_list"), "ARG_MIN": _renamed("min_by"), "ARG_MAX": _renamed("max_by"), "QUANTILE_CONT": _renamed("percentile"), "APPROX_QUANTILE": _renamed("percentile_approx"),
+    "REGEXP_MATCHES": _renamed("regexp_like"), "STARTS_WITH": _renamed("startswith"), "ENDS_WITH": _renamed("endswith"),
 }
+#: Table functions over files, and the reader of each.
+READERS = {"READ_PARQUET": "parquet", "PARQUET_SCAN": "parquet", "READ_CSV": "csv", "READ_CSV_AUTO": "csv", "READ_JSON": "json", "READ_JSON_AUTO": "json", "READ_NDJSON": "json"}
 _ORDER_ENDS = {"LIMIT", "OFFSET", "FETCH", "ROWS", "RANGE", "UNION", "INTERSECT", "EXCEPT", "QUALIFY", "WINDOW"}
 TableNames = Callable[[list[str]], str | None]
 
 
+Files = Callable[[str, str, dict[str, str]], str]
+
+
 class Rewriter:
-    """``table`` names the Spark relation of a dotted table name, or None to leave it."""
+    """``table`` names the Spark relation of a dotted table name, or None to leave it; ``files`` that of a reader, a path and options."""
 
-    def __init__(self, table: TableNames | None = None):
-        self.table = table or (lambda parts: None)
+    def __init__(self, table: TableNames | None = None, files: Files | None = None):
+        self.table, self.files = table or (lambda parts: None), files
         self.params = 0
 
     def __call__(self, sql: str) -> str:
@@ -141,7 +182,23 @@ class Rewriter:
             else:
                 out.append(items[i])
                 i += 1
-        return self.tables(self.ordered(self.qualified(self.without_dual(out))))
+        return self.tables(self.ordered(self.limited(self.qualified(self.without_dual(out)))))
+
+    def limited(self, items: list[Token]) -> list[Token]:
+        """OFFSET n ROWS and FETCH FIRST n ROWS ONLY as LIMIT and OFFSET."""
+        fetch = next((i for i in range(len(items) - 1) if items[i].up == "FETCH" and items[i + 1].up in ("FIRST", "NEXT") and self._level(items, i) == 0), -1)
+        rows = ("ROW", "ROWS")
+        if fetch >= 0:
+            end, n = fetch + 2, [Token("number", "1")]
+            if items[end].up not in rows:
+                n, end = [items[end]], end + 1
+            if end + 1 >= len(items) or items[end].up not in rows or items[end + 1].up != "ONLY":
+                raise SqlSyntaxError("FETCH needs ROWS ONLY")
+            at = find(items, "OFFSET")
+            at = at if 0 <= at < fetch else fetch
+            items = [*items[:at], Token("word", "LIMIT"), *n, *items[at:fetch], *items[end + 2 :]]
+        at = find(items, "OFFSET")
+        return [*items[: at + 2], *items[at + 3 :]] if 0 <= at < len(items) - 2 and items[at + 2].up in rows else items
 
     def without_dual(self, items: list[Token]) -> list[Token]:
         at = find(items, "FROM", "DUAL")
@@ -208,8 +265,19 @@ class Rewriter:
                 while j + 1 < len(items) and items[j].text == "." and items[j + 1].kind in ("word", "quoted"):
                     parts.append(items[j + 1])
                     j += 2
+                if len(parts) == 1 and t.up in READERS and self.files and j < len(items) and items[j].up == "(":
+                    end = closing(items, j)
+                    name = self.files(READERS[t.up], *self.reader_options(items[j + 1 : end]))
+                    out += raw(name)
+                    i, expect = end + 1, False
+                    continue
                 if j >= len(items) or items[j].up != "(":
                     name = self.table([p.name for p in parts])
+                    sampled, j = self.sampled(items, j, name or spell(parts if len(parts) == 1 else items[i:j]), parts[-1].name)
+                    if sampled:
+                        out += raw(sampled)
+                        i, expect = j, False
+                        continue
                     # the bare name stays usable for columns
                     alias = j < len(items) and (items[j].up == "AS" or items[j].kind == "quoted" or (items[j].kind == "word" and items[j].up not in _AFTER_TABLE))
                     out += raw(name if alias else f"{name} AS `{parts[-1].name}`") if name else items[i:j]
@@ -233,6 +301,50 @@ class Rewriter:
                 return t.up in ("FROM", "JOIN", "ON", "USING")
         return False
 
+    @staticmethod
+    def reader_options(call: list[Token]) -> tuple[str, dict[str, str]]:
+        """Path and named options of a table function over files."""
+        path, options = "", {}
+        for arg in split(call):
+            if len(arg) == 1 and arg[0].kind in ("string", "dollar"):
+                path = arg[0].value
+            elif len(arg) > 2 and arg[1].up in ("=", "=>"):
+                options[arg[0].text.lower()] = arg[2].value if arg[2].kind in ("string", "dollar") else arg[2].text.lower()
+        if not path:
+            raise SqlSyntaxError("a path is needed")
+        return path, options
+
+    def sampled(self, items: list[Token], at: int, name: str, bare: str) -> tuple[str | None, int]:
+        """A table with SAMPLE, TABLESAMPLE or USING SAMPLE behind it, before or after its alias, as Spark writes it; where it ends."""
+        start, alias = at, bare
+        if at < len(items) and (items[at].up == "AS" or (items[at].kind in ("word", "quoted") and items[at].up not in _AFTER_TABLE)):
+            at += items[at].up == "AS"
+            alias, at = items[at].name, at + 1
+        if [t.up for t in items[at : at + 2]] == ["USING", "SAMPLE"]:
+            at += 1
+        if at >= len(items) or items[at].up not in ("SAMPLE", "TABLESAMPLE"):
+            return None, start
+        at += 1
+        if at < len(items) and items[at].up in ("BERNOULLI", "SYSTEM", "ROW", "BLOCK", "RESERVOIR"):
+            at += 1
+        if at < len(items) and items[at].up == "(":
+            end = closing(items, at)
+            body, at = items[at + 1 : end], end + 1
+        else:
+            body, at = items[at : at + 2], at + 2
+            if len(body) < 2 or body[1].up not in ("%", "PERCENT", "ROWS"):
+                raise SqlSyntaxError("SAMPLE needs a share or a number of rows")
+        if not body or body[0].kind != "number" or len(body) > 2:
+            raise SqlSyntaxError("SAMPLE needs a share or a number of rows")
+        if len(body) == 2 and body[1].up in ("ROW", "ROWS"):
+            text = f"(SELECT * FROM {name} ORDER BY rand() LIMIT {body[0].text})"
+        else:
+            text = f"{name} TABLESAMPLE ({body[0].text} PERCENT)"
+        if at < len(items) and bare == alias and (items[at].up == "AS" or (items[at].kind in ("word", "quoted") and items[at].up not in _AFTER_TABLE)):
+            at += items[at].up == "AS"
+            alias, at = items[at].name, at + 1
+        return f"{text} AS `{alias}`", at
+
     def flattened(self, call: list[Token]) -> str | None:
         if not call or call[0].up != "FLATTEN" or call[1].up != "(":
             return None

@@ -202,6 +202,16 @@ class Session:
         self.view.read(table).createOrReplaceTempView(name)
         return f"`{name}`"
 
+    def _files(self, kind: str, path: str, options: dict[str, str]) -> str:
+        """A view of files; CSV files have a header and CSV and JSON a schema that is looked for, unless told otherwise."""
+        reader = self.spark.read
+        if kind == "csv":
+            reader = reader.option("header", options.get("header", "true")).option("inferSchema", options.get("all_varchar", "false") != "true")
+            reader = reader.option("sep", options.get("delim", options.get("sep", ","))).option("quote", options.get("quote", '"')).option("escape", options.get("escape", '"')).option("multiLine", True)
+        name = f"__files_{self.id}_{abs(hash((kind, path, *sorted(options.items())))):x}"
+        (reader.json(path, multiLine=options.get("format") == "array") if kind == "json" else getattr(reader, kind)(path)).createOrReplaceTempView(name)
+        return f"`{name}`"
+
     # -- tables without text -----------------------------------------------------------------
 
     def create_table(self, name: str, columns: list[Column], if_not_exists: bool = False) -> None:
@@ -223,7 +233,7 @@ class Session:
     # -- running -------------------------------------------------------------------------
 
     def _text(self, items: list[Token]) -> str:
-        return self._inlined(spell(Rewriter(self._relation).statement(items)))
+        return self._inlined(spell(Rewriter(self._relation, self._files).statement(items)))
 
     _args: dict | None = None
 
@@ -245,7 +255,7 @@ class Session:
 
     def translate(self, sql: str) -> str:
         """The statement as Spark gets it."""
-        return Rewriter(self._relation)(sql)
+        return Rewriter(self._relation, self._files)(sql)
 
     def query(self, sql: str, bindings: dict | list | None = None) -> DataFrame:
         """A lazy DataFrame of a query."""
@@ -307,8 +317,8 @@ class Session:
         if first in ("DESCRIBE", "DESC"):
             return self._describe(items)
         if first == "EXPLAIN":
-            return self.spark.sql("EXPLAIN " + spell(Rewriter(self._relation).statement(items[1:])), args=self._args or None)
-        text = spell(Rewriter(self._relation).statement(items))
+            return self.spark.sql("EXPLAIN " + spell(Rewriter(self._relation, self._files).statement(items[1:])), args=self._args or None)
+        text = spell(Rewriter(self._relation, self._files).statement(items))
         return self.spark.sql(text, args=self._args) if self._args else self.spark.sql(text)
 
     def _use(self, items: list[Token]) -> Outcome:

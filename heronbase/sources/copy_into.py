@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from heronbase.errors import InvalidValue, SqlSyntaxError, wrap
 from heronbase.lexer import Token, closing, spell, split, tokens
 from heronbase.operators.dml import Writer, dotted
+from heronbase.plans.rewrite import date_picture
 from heronbase.sources.catalog import Key, Table
 from heronbase.sources.stages import Stages
 
@@ -253,9 +254,9 @@ class Loader:
             value = F.when(text.isin(["", *f.null_if]), F.lit(None)).otherwise(text)
             value = F.coalesce(bad, value) if i == 0 else value
             if f.date_format and isinstance(kind, T.DateType):
-                value = F.to_date(value, _pattern(f.date_format))
+                value = F.to_date(value, date_picture(f.date_format))
             elif f.timestamp_format and isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-                value = F.to_timestamp(value, _pattern(f.timestamp_format))
+                value = F.to_timestamp(value, date_picture(f.timestamp_format))
             out.append(value.alias(n))
         return df.select(*out)
 
@@ -298,10 +299,3 @@ class Loader:
             df.write.option("sep", copy.format.field_delimiter[:1]).option("header", copy.format.skip_header == 1).csv(at)
         n = df.count()
         return CopyResult(rows_loaded=n, rows_inserted=0, files_loaded=len([f for f, _ in self.stages.files(*where, below=copy.path or "data") if not f.endswith("_SUCCESS")]))
-
-
-def _pattern(text: str) -> str:
-    """The dialect's date pictures as Java's."""
-    for a, b in (("YYYY", "yyyy"), ("HH24", "HH"), ("MI", "mm"), ("DD", "dd"), ("SS", "ss"), ("FF", "SSS")):
-        text = text.replace(a, b)
-    return text
