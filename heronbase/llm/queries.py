@@ -122,10 +122,10 @@ FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 
 OP7_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), b AS (
   SELECT *, CASE WHEN size < 32 THEN size ELSE length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)::INT) END AS class,
-         {_nibbles("coalesce(CAST(doc_id AS VARCHAR), '')", 2)} AS bucket FROM d
+         {_nibbles("coalesce(CAST(doc_id AS VARCHAR), text, '')", 2)} AS bucket FROM d
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS most FROM s),
 l AS (

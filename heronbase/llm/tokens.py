@@ -5,15 +5,31 @@ normalization treats each side alone and folds case, so a text's ids are those o
 words in turn.  Words recur: each worker keeps the ids of those it has met, up to a
 bounded number, and the library encodes each word once.  Special tokens' strings are
 left to the library, whole.
+
+This holds for the normalization, pre-tokenization and kind of model in ``WORDS`` alone;
+with any other file the library encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain
 
 import numpy as np
 
+#: What a tokenizer's file must say for its texts to be taken a word at a time.
+WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
 MOST_WORDS = 1_600_000
 #: Words that normalization leaves as they are but for case: ASCII and the letters of Latin-1.
 PLAIN = re.compile(r"[!-~\u00df-\u00f6\u00f8-\u00ff]+")
@@ -25,6 +41,28 @@ SHOWN[[*range(33), *range(127, 161), 173]] = np.arange(256, 256 + 68)
 SHOWN[32] = 32
 
 
+def by_words(path: str) -> bool:
+    """May texts be taken a word at a time with this file?"""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model = {k: v for k, v in found["model"].items() if k not in ("vocab", "merges")}
+    plain = all(t["content"].startswith("<|") and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in found["added_tokens"])
+    return plain and not found.get("truncation") and not found.get("padding") and WORDS == {"normalizer": found["normalizer"], "pre_tokenizer": found["pre_tokenizer"], "model": model}
+
+
+class TextEncoder:
+    """Whole texts, by the library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -119,11 +157,11 @@ class WordEncoder:
         return np.split(ids, cuts[:-1]) if len(texts) else []
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | TextEncoder:
     """One per worker process and vocabulary."""
     import tokenizers
 
     kept = tokenizers.__dict__.setdefault("_heronbase_encoders", {})
     if path not in kept:
-        kept[path] = WordEncoder(path)
+        kept[path] = (WordEncoder if by_words(path) else TextEncoder)(path)
     return kept[path]

@@ -7,7 +7,8 @@ ones, so a score does not depend on how often a word recurs.  Training reads at
 in that order; scoring reads every whole text.
 
 Defined cases: documents without label, or with null labels only, do not train; equal
-ids in ``labels`` count once, with their largest label; a null id is never held out and
+ids in ``labels`` count once, with their largest label; of documents that share an id, one
+trains (the one with the smallest hash of its text); a null id is never held out and
 never trains; null and empty texts score by the bias alone; without any usable label all
 scores are 0; other columns are ignored.
 """
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heronbase.llm.common import pick, small_batches
@@ -69,10 +70,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """``order, text, y`` of the bounded training sample."""
+    """``order, text, y`` of the bounded training sample: one document for each of ``rows`` ids."""
     own = pick(labels, "doc_id", label).groupBy("doc_id").agg(F.max(label).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
+    # of the documents with an id, a task passes on one before the shuffle
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    found = found.withColumn("nth", F.row_number().over(one)).where(F.col("nth") == 1)
     return found.select(F.xxhash64("doc_id").alias("order"), F.col("text").cast("string").alias("text"), F.col("y").cast("double").alias("y"))
 
 

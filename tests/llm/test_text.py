@@ -100,6 +100,13 @@ def test_labels_of_held_out_rows_do_not_matter(spark, make, words):
     assert one == two
 
 
+def test_a_repeated_id_trains_once(spark, make, words):
+    docs, labels = toxic_corpus(spark, make, words, 200)
+    own = docs.where("doc_id = 2").select("doc_id", "text")
+    many = own.crossJoin(spark.range(50)).selectExpr("doc_id", "concat(text, ' ', id) AS text")
+    assert toxicity.sample(docs.select("doc_id", "text").union(many), labels, "toxic", 40).count() == toxicity.sample(docs.select("doc_id", "text"), labels, "toxic", 40).count() <= 40
+
+
 def test_ftrl_is_sparse():
     r = np.random.default_rng(0)
     model = toxicity.Ftrl(12, toxicity.Rates())
@@ -155,6 +162,18 @@ def test_tokens_equal_the_library():
         assert g.tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_vocabularies_take_whole_texts():
+    from tokenizers import Tokenizer
+
+    from heronbase.llm.tokens import TextEncoder, encoder
+
+    path = vocabulary("byte_bpe_50k.json")
+    library, r = Tokenizer.from_file(path), random.Random(1)
+    assert isinstance(encoder(path), TextEncoder) and isinstance(encoder(vocabulary("word_bpe_49k.json")), WordEncoder)
+    texts = ODD + ["".join(r.choice("aAbé.,!' \n1²ß<|>́ ") for _ in range(30)) for _ in range(300)]
+    assert [g.tolist() for g in encoder(path)([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_round_trip(spark, make, tmp_path):
     from tokenizers import Tokenizer
 
