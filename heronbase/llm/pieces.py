@@ -7,22 +7,29 @@ so whatever repeats meets under its anchor, every window of a document belongs t
 piece of it, and no piece holds a window twice.  A document yields a piece per
 ``(width - gram) / 2`` windows or so; texts are not moved to find out what repeats.
 
-Under an anchor, pieces with the same content are settled at once (``whole``).  Where
-different contents meet, one piece of each content is sent on with its text, to be
-compared by the caller's method.  An anchor with more than ``HOT`` different contents
-(the edges of a passage that a large part of the corpus shares) is dealt anew window
-by window, each under the hash of its whole content, which no key can overload.
+Hashes only route and fold.  Copies of a piece are one content; one text of each content
+whose anchor occurs more than once goes to the caller's method, together with the others
+under its anchor, and the method's answer is joined back to every copy.  There the copy's
+own text is held against a cryptographic digest of the text that was answered for, so no
+two contents with equal hashes can pass for each other: that raises.  A content that is
+alone under its anchor has no other one to be compared with; such neighbours in a
+document travel as one stretch.
+
+An anchor with more than ``HOT`` different contents (the edges of a passage that a large
+part of the corpus shares) is dealt anew window by window, each under the hash of its
+whole content: windows are counted by a grouping that combines before the shuffle, and the
+text of each that repeats goes to the method once.
 
 A piece that a document holds more than once (a line repeated over and over) travels
 once, with the number of its places; they are found again where the text is at hand.
 Copies among the documents of a batch are combined before the shuffle: the earliest one
-stands for all, and the others, which it settles, are dealt at random instead of to the
-anchor's task.  So a passage that a third of all documents share sends each anchor a
-row a batch.
+stands for all, and the others are dealt at random instead of to the anchor's task.  So a
+passage that a third of all documents share sends each anchor a row a batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -40,8 +47,17 @@ PLACE = np.uint64((1 << 17) - 1)
 HOT = 2000
 BASE = 0x9E3779B97F4A7C15
 PIECES = "doc long, ver long, start long, n int, reps int, mh long, ch long"
-#: ``more``: places in other documents that were combined into this row; ``known``: settled before the shuffle.
+#: ``more``: places in other documents that were combined into this row; ``known``: combined into another row.
 FOUND = PIECES + ", more int, known boolean"
+#: What the method gets: one text with the contents that it is made of (``weight``: places of each), in order.
+PART = "struct<mh:long,ch:long,n:int,weight:long>"
+TEXTS = f"mh long, doc long, parts array<{PART}>, text binary"
+#: What it answers: windows of a content that repeat, for its first document and, with ``later``, for all others.
+ANSWERS = "mh long, ch long, later boolean, mark binary, spans array<struct<off:int,k:int>>"
+
+
+class Collision(ValueError):
+    """Two contents with equal hashes."""
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -127,6 +143,10 @@ class Kind:
     def symbols(self, h: Hasher, text: bytes) -> np.ndarray:
         return h.words(text)[2] if self.words else h.bytes[np.frombuffer(text, np.uint8)]
 
+    def mark(self, content: bytes) -> bytes:
+        """A digest that equal symbols share and nothing else does."""
+        return hashlib.blake2b(b" ".join(content.split()) if self.words else content, digest_size=16).digest()
+
     def content(self, h: Hasher, text: bytes, starts: np.ndarray, ns: np.ndarray) -> list[bytes]:
         ends = starts + ns + self.width - 1
         if self.words:
@@ -177,11 +197,6 @@ class Laid:
     def key(self) -> np.ndarray:
         return mixed(self.mh) + self.ch
 
-    def like(self, starts: np.ndarray) -> np.ndarray:
-        """Places of all pieces with the content of one that begins at one of ``starts``."""
-        key = self.key()
-        return np.flatnonzero(np.isin(key, key[np.searchsorted(self.start, starts)]))
-
 
 def combined(out: list[tuple], first: bool) -> pa.RecordBatch:
     """A batch's pieces, copies told apart from the one that stands for them."""
@@ -223,7 +238,7 @@ def pieces(packed: DataFrame, kind: Kind, first: bool) -> DataFrame:
 
 
 def settle(found: DataFrame, first: bool) -> DataFrame:
-    """Pieces that repeat (``whole``) and pieces to be compared (``send``, of which those that ``ask`` want an answer); ``hot`` ones are to be dealt anew.
+    """Pieces whose anchor occurs more than once: ``later`` (in a document after the content's first), ``rep`` (stands for its content), the content's places as ``weight``, whether later documents hold it too (``spread``), whether it is the ``single`` one under its anchor or one of a ``hot`` number.
 
     ``first``: only what stands in an earlier document counts; else whatever stands anywhere else.
     """
@@ -232,74 +247,122 @@ def settle(found: DataFrame, first: bool) -> DataFrame:
     same = Window.partitionBy("at", "known", "ch")
     n = found.sparkSession.conf.get("spark.sql.shuffle.partitions")
     x = found.repartition(int(n), "at").withColumn("nth", F.row_number().over(same.orderBy("doc", "start", "ver")))
-    x = x.withColumn("copies", F.sum(F.col("reps") + F.col("more")).over(same)).withColumn("lo", F.min("doc").over(same))
+    x = x.withColumn("weight", F.sum(F.col("reps") + F.col("more")).over(same)).withColumn("lo", F.min("doc").over(same))
     x = x.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(met)).withColumn("least", F.min("doc").over(met)).withColumn("most", F.max("doc").over(met))
-    if first:
-        whole, ask, send = "doc > lo", "doc = lo and doc > least", "kinds > 1 and doc = lo and least < most"
-    else:
-        whole, ask, send = "copies > 1", "copies = 1", "kinds > 1 and nth = 1"
-    x = x.select("doc", "ver", "start", "n", "reps", "mh", "ch", F.expr(f"known or {whole}").alias("whole"), F.expr(f"not known and {ask}").alias("ask"), F.expr(f"not known and {send}").alias("send"), (F.col("kinds") > HOT).alias("hot"))
-    return x.where("whole or send")
-
-
-def with_text(packed: DataFrame, asked: DataFrame, kind: Kind) -> DataFrame:
-    """``asked`` pieces with their ``text``, those that ask at each of their places."""
-    by_doc = asked.groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n", "reps", "mh", "ch", "ask")).alias("own"))
+    x = x.withColumn("folded", F.sum("more").over(same)).withColumn("last", F.max("doc").over(same))
+    x = x.withColumn("elsewhere", F.sum("more").over(met)).withColumn("places", F.sum(F.col("reps") + F.col("more")).over(met))
+    x = x.where(F.expr("known or elsewhere > 0 or least < most" if first else "known or places > 1"))
+    later = F.expr("known or doc > lo") if first else F.lit(False)
+    x = x.withColumn("spread", F.expr("folded > 0 or last > lo"))
+    rep = F.expr("not known and nth = 1")
+    return x.select("doc", "ver", "start", "n", "reps", "mh", "ch", later.alias("later"), rep.alias("rep"), F.col("weight").cast("long").alias("weight"), (F.col("kinds") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot"), "spread")
+
+
+def with_text(packed: DataFrame, reps: DataFrame, kind: Kind) -> DataFrame:
+    """The texts of ``doc, ver, start, n, mh, ch, weight, single``; single ones that follow each other in a document as one."""
+    by_doc = reps.groupBy("doc", "ver").agg(F.array_sort(F.collect_list(F.struct("start", "n", "mh", "ch", "weight", "single"))).alias("own"))
     near = packed.select("doc", "ver", "z").join(by_doc, ["doc", "ver"])
+    part = pa.struct([("mh", pa.int64()), ("ch", pa.int64()), ("n", pa.int32()), ("weight", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(STRETCH + kind.width)
         for b in batches:
             for i in range(b.num_rows):
+                doc = b.column(0)[i].as_py()
                 own, text = b.column(3)[i].values, unpack(b.column(2)[i].as_py())
-                start, n, reps, mh, ch, ask = (own.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "reps", "mh", "ch", "ask"))
-                if (often := ask & (reps > 1)).any():
-                    laid = Laid.of(h, kind, text)
-                    at = laid.like(start[often])
-                    rest = ~often
-                    start, n = np.concatenate((start[rest], laid.start[at])), np.concatenate((n[rest], laid.n[at]))
-                    mh, ch = (np.concatenate((x[rest], y[at].view(np.int64))) for x, y in ((mh, laid.mh), (ch, laid.ch)))
-                    ask = np.concatenate((ask[rest], np.ones(len(at), bool)))
-                texts = kind.content(h, text, start.astype(np.int64), n.astype(np.int64))
-                k = len(start)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, b.column(0)[i].as_py(), np.int64)), pa.array(np.full(k, b.column(1)[i].as_py(), np.int64)), pa.array(start.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(np.ones(k, np.int32)), pa.array(mh), pa.array(ch), pa.array(ask), pa.array(texts, pa.binary())],
-                    names=["doc", "ver", "start", "n", "reps", "mh", "ch", "ask", "text"],
-                )
-
-    return near.mapInArrow(run, PIECES + ", ask boolean, text binary")
-
-
-def dealt_anew(texts: DataFrame, kind: Kind, first: bool) -> DataFrame:
-    """Every window of the pieces as a piece of its own."""
+                start, n, single = (own.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n", "single"))
+                # a stretch begins where the one before ends elsewhere, or either is not single
+                begins = np.concatenate(([True], (start[1:] != start[:-1] + n[:-1]) | ~single[1:] | ~single[:-1]))
+                head = np.flatnonzero(begins)
+                whole = np.add.reduceat(n.astype(np.int64), head)
+                texts = kind.content(h, text, start[head].astype(np.int64), whole)
+                parts = pa.StructArray.from_arrays([own.field(k).cast(t.type) for k, t in zip(("mh", "ch", "n", "weight"), part, strict=True)], fields=list(part))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(n)).astype(np.int32)), parts)
+                yield pa.RecordBatch.from_arrays([own.field("mh").take(pa.array(head)), pa.array(np.full(len(head), doc, np.int64)), lists, pa.array(texts, pa.binary())], names=["mh", "doc", "parts", "text"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher(STRETCH + kind.width)
-        for b in batches:
-            out = []
-            for doc, ver, start, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                for s, n, mh, ch in cut(h, kind.symbols(h, text), kind.width, kind.width):
-                    out.append((np.full(len(s), doc, np.int64), np.full(len(s), ver, np.int64), s + start, n, np.ones(len(s), np.int32), mh.view(np.int64), ch.view(np.int64)))
-            if out:
-                yield combined(out, first)
-
-    return texts.select("doc", "ver", "start", "text").mapInArrow(run, FOUND)
+    return near.mapInArrow(run, TEXTS)
 
 
-def repeated(packed: DataFrame, kind: Kind, first: bool, compare: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """``doc, ver, start, n, reps``: stretches of ``n`` windows all of which stand elsewhere too; with ``reps`` over 1 so do all pieces like the one at ``start``.
+def dealt_anew(texts: DataFrame, kind: Kind) -> DataFrame:
+    """Every window of the contents: its hash ``w``, its place ``off`` in content ``mh, ch`` with digest ``mark``; places of the content as ``weight``."""
 
-    ``compare`` gets ``doc, ver, start, n, mh, ch, ask, text`` and the number of symbols in them, and answers for the pieces that ask.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = Hasher(STRETCH + kind.width)
+        for b in batches:
+            for parts, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                (own,) = parts
+                mark = kind.mark(text)
+                for off, _, w, _ in cut(h, kind.symbols(h, text), kind.width, kind.width):  # the whole window is its own gram
+                    k = len(off)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(w.view(np.int64)), pa.array(off.astype(np.int32)), *(pa.array(np.full(k, own[x], np.int64)) for x in ("mh", "ch", "weight")), pa.array([mark] * k, pa.binary())], names=["w", "off", "mh", "ch", "weight", "mark"]
+                    )
+
+    return texts.select("parts", "text").mapInArrow(run, "w long, off int, mh long, ch long, weight long, mark binary")
+
+
+Method = Callable[[DataFrame, int], DataFrame]
+
+
+def of_hot(packed: DataFrame, settled: DataFrame, kind: Kind, first: bool, method: Method) -> DataFrame:
+    """Answers for contents under hot anchors, put together from answers for their windows."""
+    reps = settled.where("rep and hot").withColumn("single", F.lit(False))
+    wins = dealt_anew(with_text(packed, reps, kind), kind)
+    # the content's first place, and whether later documents hold it too
+    of = reps.select("mh", "ch", F.struct("doc", "ver", "start").alias("at"), F.col("spread").alias("more"))
+    wins = materialize(wins.join(of, ["mh", "ch"]).withColumn("at", F.struct("at.doc", "at.ver", (F.col("at.start") + F.col("off")).alias("start"))), "windows")
+    per = wins.groupBy("w").agg(F.min("at").alias("first"), F.max("at.doc").alias("most"), F.bool_or("more").alias("more"), F.sum("weight").alias("weight"))
+    per = materialize(per.where("more or first.doc < most" if first else "weight > 1"), "repeated-windows")
+    asked = per.select("first.doc", "first.ver", "first.start", F.lit(1).alias("n"), F.col("w").alias("mh"), F.col("w").alias("ch"), "weight", F.lit(True).alias("single"))
+    texts = with_text(packed, asked, kind)
+    found = materialize(method(texts, per.count() * (kind.width + 1)).where(F.size("spans") > 0).select(F.col("mh").alias("w"), F.col("later").alias("after")), "window-answers")
+    each = wins.withColumn("later", F.explode(F.array(F.lit(False), F.lit(True)))).where(F.expr("not later or more") if first else F.expr("not later"))
+    each = each.join(per.select("w", F.col("first.doc").alias("lo")), "w").withColumn("after", F.expr("later or at.doc > lo") if first else F.lit(False))
+    hits = each.join(found, ["w", "after"])
+    return hits.groupBy("mh", "ch", "later").agg(F.first("mark").alias("mark"), F.collect_set(F.struct("off", F.lit(1).alias("k"))).alias("spans"))
+
+
+def repeated(packed: DataFrame, kind: Kind, first: bool, method: Method) -> DataFrame:
+    """``doc, ver, own``: each document's pieces with repeated windows, and what the method says of them.
+
+    ``method`` gets texts (``TEXTS``) and the number of symbols in them, and answers (``ANSWERS``).
     """
     settled = materialize(settle(pieces(packed, kind, first), first), "settled")
-    asked = F.when(F.expr("send and not hot"), F.col("n") + kind.width)
-    size, hot = settled.agg(F.coalesce(F.sum(asked), F.lit(0)), F.coalesce(F.bool_or(F.expr("send and hot")), F.lit(False))).first()
-    texts = with_text(packed, settled.where("send and not hot"), kind)
-    spans = settled.where("whole").select("doc", "ver", "start", "n", "reps").union(compare(texts, size).select("doc", "ver", "start", "n", F.lit(1).alias("reps")))
+    asked = F.when(F.expr("rep and not hot"), F.col("n") + F.when(F.col("single"), 16).otherwise(kind.width))
+    size, hot = settled.agg(F.coalesce(F.sum(asked), F.lit(0)), F.coalesce(F.bool_or("hot"), F.lit(False))).first()
+    answers = method(with_text(packed, settled.where("rep and not hot"), kind), size)
     if hot:
-        again = dealt_anew(with_text(packed, settled.where("send and hot"), kind), kind, first)
-        spans = spans.union(settle(again, first).where("whole").select("doc", "ver", "start", "n", "reps"))
-    return materialize(spans, "spans")
+        answers = answers.unionByName(of_hot(packed, settled, kind, first, method))
+    answers = materialize(answers, "answers")
+    found = settled.select("doc", "ver", "start", "n", "reps", "mh", "ch", "later").join(answers, ["mh", "ch", "later"])
+    return materialize(found.groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n", "reps", "mark", "spans")).alias("own")), "spans")
+
+
+def within(sizes: list[int], spans: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Which of the contents of a stretch, of ``sizes`` windows each, have windows in ``spans`` (in order), and where in them."""
+    if not spans:
+        return
+    edge = at = 0
+    for i, n in enumerate(sizes):
+        own = []
+        while at < len(spans) and spans[at][0] < edge + n:
+            s, k = spans[at]
+            own.append((max(s - edge, 0), min(s + k, edge + n) - max(s, edge)))
+            if s + k > edge + n:
+                break
+            at += 1
+        edge += n
+        if own:
+            yield i, own
+
+
+def answered(rows: list[tuple]) -> pa.RecordBatch:
+    """``mh, ch, later, mark, [(off, k), ...]`` as answers."""
+    mh, ch, later, mark, spans = zip(*rows, strict=True) if rows else ((),) * 5
+    flat = np.array([x for s in spans for x in s], np.int32).reshape(-1, 2)
+    both = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["off", "k"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in spans]))).astype(np.int32)), both)
+    return pa.RecordBatch.from_arrays([pa.array(mh, pa.int64()), pa.array(ch, pa.int64()), pa.array(later, pa.bool_()), pa.array(mark, pa.binary()), lists], names=["mh", "ch", "later", "mark", "spans"])
 
 
 def covered(starts: np.ndarray, ns: np.ndarray, width: int, size: int) -> np.ndarray:
@@ -310,25 +373,40 @@ def covered(starts: np.ndarray, ns: np.ndarray, width: int, size: int) -> np.nda
     return np.cumsum(edge[:-1]) > 0
 
 
-def applied(packed: DataFrame, spans: DataFrame, kind: Kind, schema: str, per_text: Callable[[Hasher, bytes, np.ndarray, np.ndarray], tuple]) -> DataFrame:
+def applied(packed: DataFrame, by_doc: DataFrame, kind: Kind, schema: str, per_text: Callable[[Hasher, bytes, np.ndarray, np.ndarray], tuple]) -> DataFrame:
     """``per_text(hasher, text, starts, ns)`` for each document with its spans, as columns after ``doc_id``."""
-    by_doc = spans.groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n", "reps")).alias("own"))
     near = packed.join(by_doc, ["doc", "ver"], "left").select("id", "z", "own")
     names = [x.split()[0] for x in schema.split(",")]
 
+    def placed(h: Hasher, text: bytes, own: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans of windows, once the text of each piece is found to be the one that was answered for."""
+        start, n, reps = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n", "reps"))
+        marks, spans = own.field("mark").to_pylist(), own.field("spans")
+        off, k = (spans.flatten().field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("off", "k"))
+        count = spans.value_lengths().to_numpy(zero_copy_only=False)
+        piece = np.arange(len(start))
+        if (often := reps > 1).any():
+            laid = Laid.of(h, kind, text)
+            key = laid.key()
+            mine = key[np.searchsorted(laid.start, start[often])]
+            places = np.flatnonzero(np.isin(key, mine))
+            of = dict(zip(mine.tolist(), np.flatnonzero(often).tolist(), strict=True))
+            piece = np.concatenate((piece[~often], np.array([of[x] for x in key[places].tolist()], np.int64)))
+            start = np.concatenate((start[~often], laid.start[places]))
+        for content, i in zip(kind.content(h, text, start, n[piece]), piece.tolist(), strict=True):
+            if kind.mark(content) != marks[i]:
+                raise Collision("two contents have the same hashes")
+        first = np.cumsum(count) - count
+        which = np.repeat(first[piece], count[piece]) + np.arange(count[piece].sum()) - np.repeat(np.cumsum(count[piece]) - count[piece], count[piece])
+        return np.repeat(start, count[piece]) + off[which], k[which]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, none = Hasher(STRETCH + kind.width), np.empty(0, np.int64)
         for b in batches:
             out = []
             for i in range(b.num_rows):
-                own, text, at, ns = b.column(2)[i].values, unpack(b.column(1)[i].as_py()), none, none
-                if own is not None:
-                    at, ns, reps = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n", "reps"))
-                    if (often := reps > 1).any():
-                        laid = Laid.of(h, kind, text)
-                        places = laid.like(at[often])
-                        at, ns = np.concatenate((at[~often], laid.start[places])), np.concatenate((ns[~often], laid.n[places].astype(np.int64)))
-                out.append(per_text(h, text, at, ns))
+                own, text = b.column(2)[i].values, unpack(b.column(1)[i].as_py())
+                out.append(per_text(h, text, *((none, none) if own is None else placed(h, text, own))))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x)) for x in zip(*out, strict=True))], names=["doc_id", *names])
 
     return near.mapInArrow(run, f"doc_id {dict(packed.dtypes)['id']}, {schema}")

@@ -4,11 +4,14 @@ A reference shard's suffix automaton reads documents word by word and tells, at
 word, how long a run ending there the shard holds (matching statistics); runs of
 ``width`` words or more are removed.
 
-Against a fixed reference, ``against`` broadcasts the automata of its shards, each of a
-bounded number of words.  Within one corpus the reference is the corpus itself and
-grows with it, so nothing of it is broadcast: shards are content-defined (``pieces``),
-a document's pieces are streamed through the automaton of the shard that alone can
-hold their windows, in order of id, and join it afterwards.
+Against a fixed reference, ``against`` broadcasts the automata of its shards, one at a
+time, each of a bounded number of words.  Within one corpus the reference is the corpus
+itself: as many shards as documents would each have to be broadcast to all documents, work
+that grows with the square of the corpus.  So shards are content-defined there
+(``pieces``): a text is streamed through the automaton of the one shard that can hold its
+windows, in order of id, and joins it afterwards.  Every window's answer comes from an
+automaton; hashes only route, and fold equal texts, which are held against each other by
+digest.
 
 Defined cases: null and empty texts have no words and keep none; a null id counts as
 larger than any other; rows that share an id are not earlier than each other; other
@@ -18,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronbase.llm.common import doc_key, pick, small_batches
-from heronbase.llm.pieces import Hasher, Kind, applied, covered, documents, repeated
+from heronbase.llm.common import materialize
+from heronbase.llm.pieces import ANSWERS, STRETCH, Hasher, Kind, answered, applied, covered, documents, repeated, unpack, within
 
 #: Words in the automaton of one broadcast shard.
 SHARD_WORDS = 1_000_000
@@ -103,44 +107,57 @@ def runs(automaton: Automaton, words: list, width: int) -> Iterator[tuple[int, i
         yield start, n
 
 
-def compare(texts: DataFrame, width: int) -> DataFrame:
-    """Answers for pieces that ask: spans that pieces of smaller ids under the same anchor hold."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def compare(texts: DataFrame, kind: Kind) -> DataFrame:
+    """Answers by the automata of the shards, one for each anchor.
+
+    Documents pass in order of id.  A text is streamed through the automaton of what earlier
+    documents hold, which answers for its first document; then it joins the automaton and,
+    if later documents hold it too, is streamed again, which answers for them.
+    """
+    n, width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), kind.width
+
+    def answers(parts: list[dict], words: list[bytes], spans: list[tuple[int, int]], later: bool) -> Iterator[tuple]:
+        edges = np.concatenate(([0], np.cumsum([p["n"] for p in parts]))).tolist()
+        for i, own in within([p["n"] for p in parts], spans):
+            p = parts[i]
+            if not later or p["weight"] > 1:
+                yield p["mh"], p["ch"], later, kind.mark(b" ".join(words[edges[i] : edges[i + 1] + width - 1])), own
 
     def of_anchor(group: list[tuple]) -> Iterator[tuple]:
         automaton = Automaton()
-        waiting: list[list[bytes]] = []
+        waiting: list[tuple[list[bytes], list[dict]]] = []
+
+        def join() -> Iterator[tuple]:
+            for words, parts in waiting:
+                automaton.add(words)
+                if any(p["weight"] > 1 for p in parts):
+                    yield from answers(parts, words, list(runs(automaton, words, width)), True)
+            waiting.clear()
+
         now = None
-        for doc, ver, start, ask, text in group:
+        for doc, parts, text in group:
             if doc != now:
-                for words in waiting:
-                    automaton.add(words)
-                waiting, now = [], doc
+                yield from join()
+                now = doc
             words = text.split()
-            if ask:
-                for s, k in runs(automaton, words, width):
-                    yield doc, ver, start + s, k
-            if words not in waiting:
-                waiting.append(words)
+            if len(automaton.len) > 1:
+                yield from answers(parts, words, list(runs(automaton, words, width)), False)
+            waiting.append((words, parts))
+        yield from join()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, group = None, []
         for b in batches:
             out = []
-            for mh, *row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for mh, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if mh != anchor:
                     out += of_anchor(group)
                     anchor, group = mh, []
                 group.append(tuple(row))
-            yield answers(out)
-        yield answers(list(of_anchor(group)))
-
-    def answers(out: list[tuple]) -> pa.RecordBatch:
-        doc, ver, start, k = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ver, pa.int64()), pa.array(start, pa.int64()), pa.array(k, pa.int32())], names=["doc", "ver", "start", "n"])
+            yield answered(out)
+        yield answered(list(of_anchor(group)))
 
-    own = texts.select("mh", "doc", "ver", "start", "ask", "text").repartition(n, "mh").sortWithinPartitions("mh", "doc")
-    return own.mapInArrow(run, "doc long, ver long, start long, n int")
+    return texts.repartition(n, "mh").sortWithinPartitions("mh", "doc").select("mh", "doc", "parts", "text").mapInArrow(run, ANSWERS)
 
 
 def kept(text: bytes, hit: np.ndarray) -> list[bytes]:
@@ -148,73 +165,100 @@ def kept(text: bytes, hit: np.ndarray) -> list[bytes]:
     return [w for w, x in zip(words, hit.tolist(), strict=True) if not x] if hit.any() else words
 
 
+def cleaned(h: Hasher, text: bytes, starts: np.ndarray, ns: np.ndarray, width: int) -> tuple:
+    size = len(text.split())
+    hit = covered(starts, ns, width, size)
+    left = b" ".join(kept(text, hit))
+    return size, int(hit.sum()), hashlib.sha256(left).hexdigest(), left.decode()
+
+
+COLUMNS = "n_words long, n_removed long, kept_sha256 string, kept_text string"
+
+
 def deduplicate(docs: DataFrame, width: int = 13, gram: int = 5) -> DataFrame:
     """Per row ``doc_id, n_words, n_removed, kept_sha256``, with the kept words as ``kept_text``."""
     kind = Kind(width, gram, words=True)
     packed = documents(docs)
-    spans = repeated(packed, kind, True, lambda texts, size: compare(texts, width))
+    by_doc = repeated(packed, kind, True, lambda texts, size: compare(texts, kind))
+    return applied(packed, by_doc, kind, COLUMNS, lambda h, text, starts, ns: cleaned(h, text, starts, ns, width))
 
-    def per_text(h: Hasher, text: bytes, starts: np.ndarray, ns: np.ndarray) -> tuple:
-        size = len(text.split())
-        hit = covered(starts, ns, width, size)
-        left = b" ".join(kept(text, hit))
-        return size, int(hit.sum()), hashlib.sha256(left).hexdigest(), left.decode()
 
-    return applied(packed, spans, kind, "n_words long, n_removed long, kept_sha256 string, kept_text string", per_text)
+def shards(reference: DataFrame, width: int, shard_words: int) -> DataFrame:
+    """``shard, automaton`` (pickled) over all texts of ``reference``, built by tasks, each of ``shard_words`` words or little more."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).cast(pa.binary()).to_pylist():
+                words = (text or b"").split()
+                # parts overlap, so no window is lost
+                parts = [words[lo : lo + shard_words + width - 1] for lo in range(0, max(0, len(words) - width + 1), shard_words)]
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([len(p) for p in parts], pa.int64()), pa.array([b" ".join(p) for p in parts], pa.binary())], names=["n", "text"])
 
-def against(docs: DataFrame, reference: DataFrame, width: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Removes from ``docs`` every word in a run of ``width`` words that a text of ``reference`` holds: ``doc_id, n_words, n_removed, kept_text``.
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    The reference is read in shards of ``shard_words`` words; one shard's automaton at a
-    time is broadcast, and documents stream through it.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    own = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), doc_key().alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(None).cast("array<int>").alias("hit"))
-    schema = f"id {dict(own.dtypes)['id']}, doc long, text string, hit array<int>"
-
-    def shards() -> Iterator[list[list[bytes]]]:
-        held, size = [], 0
-        for r in reference.select("text").toLocalIterator():
-            words = (r.text or "").encode().split()
-            for lo in range(0, max(1, len(words) - width + 1), shard_words):  # shards overlap, so no window is lost
-                part = words[lo : lo + shard_words + width - 1]
-                held.append(part)
-                size += len(part)
+        def shard() -> pa.RecordBatch:
+            blob = pickle.dumps((automaton.next, automaton.link, automaton.len))
+            return pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId()}-{number}"]), pa.array([blob], pa.binary())], names=["shard", "automaton"])
+
+        automaton, size, number = Automaton(), 0, 0
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                words = text.split()
+                automaton.add(words)
+                size += len(words)
                 if size >= shard_words:
-                    yield held
-                    held, size = [], 0
-        if held:
-            yield held
+                    yield shard()
+                    automaton, size, number = Automaton(), 0, number + 1
+        if size:
+            yield shard()
 
-    def through(df: DataFrame, automaton) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hits = []
-                for text, hit in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    mine = set(hit or ())
-                    for s, k in runs(automaton.value, text.split(), width):
-                        mine.update(range(s, s + k + width - 1))
-                    hits.append(sorted(mine))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(hits, pa.list_(pa.int32()))], names=["id", "doc", "text", "hit"])
+    parts = materialize(reference.select(reference["text"].cast("string").alias("text")).mapInArrow(cut, "n long, text binary"), "reference")
+    words = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return materialize(parts.repartition(max(1, -(-words // shard_words))).mapInArrow(build, "shard string, automaton binary"), "automata")
 
-        return df.mapInArrow(run, schema)
 
-    for part in shards():
-        automaton = Automaton()
-        for words in part:
-            automaton.add(words)
-        own = through(own, spark.sparkContext.broadcast(automaton))
+def against(docs: DataFrame, reference: DataFrame, width: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Removes from ``docs`` every word in a run of ``width`` words that a text of ``reference`` holds: columns as of ``deduplicate``.
+
+    Tasks build the automata of the reference's shards.  One at a time, a shard's automaton is
+    fetched (``shard_words`` words, some 300 bytes each, whatever the reference's size) and
+    broadcast, all documents stream through it, what it finds is written, and the broadcast
+    goes.  So the work is that of all documents for each shard: this is for references of
+    a fixed size; a corpus against itself is ``deduplicate``.
+    """
+    spark, kind = docs.sparkSession, Kind(width, width, words=True)
+    packed = materialize(documents(docs), "documents")
+    automata, found = shards(reference, width, shard_words), None
+    for (name,) in sorted(map(tuple, automata.select("shard").collect())):  # names alone
+        shared = spark.sparkContext.broadcast(automata.where(F.col("shard") == name).first().automaton)
+
+        def stream(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = Automaton()
+            automaton.next, automaton.link, automaton.len = pickle.loads(shared.value)
+            for b in batches:
+                out = []
+                for doc, ver, z in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    out += [(doc, ver, s, n) for s, n in runs(automaton, unpack(z).split(), width)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("doc", "ver", "start", "n"), x, strict=True)) for x in out], schema=pa.schema([(k, pa.int64()) for k in ("doc", "ver", "start", "n")]))
+
+        one = materialize(packed.select("doc", "ver", "z").mapInArrow(stream, "doc long, ver long, start long, n long"), "matches")
+        shared.destroy()
+        found = one if found is None else found.union(one)
+    if found is None:
+        found = spark.createDataFrame([], "doc long, ver long, start long, n long")
+    by_doc = found.distinct().groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n")).alias("own"))
+    near = packed.join(by_doc, ["doc", "ver"], "left").select("id", "z", "own")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, none = Hasher(STRETCH + width), np.empty(0, np.int64)
         for b in batches:
-            n, gone, left = [], [], []
-            for text, hit in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
-                words, drop = text.split(), set(hit or ())
-                n.append(len(words))
-                gone.append(len(drop))
-                left.append(b" ".join(w for i, w in enumerate(words) if i not in drop).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return own.mapInArrow(finish, f"doc_id {dict(own.dtypes)['id']}, n_words long, n_removed long, kept_text string")
+            out = []
+            for i in range(b.num_rows):
+                own = b.column(2)[i].values
+                starts, ns = (none, none) if own is None else (own.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n"))
+                out.append(cleaned(h, unpack(b.column(1)[i].as_py()), starts, ns, kind.width))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x)) for x in zip(*out, strict=True))], names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))])
+
+    return near.mapInArrow(finish, f"doc_id {dict(packed.dtypes)['id']}, {COLUMNS}")

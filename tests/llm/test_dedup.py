@@ -2,13 +2,13 @@
 
 import hashlib
 import tempfile
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from heronbase.llm import pieces, substring_dedup, suffix_dedup
-from heronbase.llm.induced import suffixes
+from heronbase.llm import induced, pieces, substring_dedup, suffix_dedup
+from heronbase.llm.induced import Folder, suffixes
 from heronbase.llm.substring_dedup import Automaton, runs
 
 NULL = 2**63 - 1
@@ -70,11 +70,11 @@ def test_words(make, words, monkeypatch, hot):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(brute_words(docs), key=repr)
 
 
-@pytest.mark.parametrize("hot, memory", [(2000, 1 << 25), (3, 500)])
+@pytest.mark.parametrize("hot, memory", [(2000, 1 << 20), (3, 500)])
 def test_bytes(make, words, monkeypatch, hot, memory):
     monkeypatch.setattr(pieces, "HOT", hot)
     docs = corpus(words)
-    got = suffix_dedup.deduplicate(make(docs), shard_bytes=20_000, memory=memory).drop("kept")
+    got = suffix_dedup.deduplicate(make(docs), shard_bytes=20_000, memory=memory, names=memory).drop("kept")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(brute_bytes(docs), key=repr)
 
 
@@ -83,13 +83,35 @@ def test_empty(make):
     assert suffix_dedup.deduplicate(make([])).collect() == []
 
 
-def test_against_reference(make, words):
+def test_against_reference(spark, make, words):
     passage = words(2, 60, 5000)
-    reference = make([" ".join(words(8, 50) + passage), None, " ".join(words(9, 30))])
-    docs = make(["start " + " ".join(passage[5:45]) + " end", " ".join(passage[:12]), None])
-    got = {r.doc_id: r for r in substring_dedup.against(docs, reference, shard_words=40).collect()}
-    assert got[0].kept_text == "start end" and got[0].n_removed == 40
-    assert got[1].n_removed == 0 and got[2].n_words == 0
+    texts = [" ".join(words(8, 50) + passage), None, " ".join(words(9, 30)), " ".join(words(10, 300))]
+    docs = ["start " + " ".join(passage[5:45]) + " end", " ".join(passage[:12]), None, " ".join(words(10, 300)[100:220] + words(9, 30)[3:20]), "x"]
+    rows = [*enumerate(docs), (0, docs[3]), (None, docs[0])]
+    for size in (40, 10_000):
+        got = substring_dedup.against(make(rows), make(texts), shard_words=size)
+        held = {tuple(w[i : i + 13]) for t in texts for w in [(t or "").split()] for i in range(len(w) - 12)}
+        want = []
+        for doc, text in rows:
+            w = (text or "").split()
+            gone = {j for i in range(len(w) - 12) if tuple(w[i : i + 13]) in held for j in range(i, i + 13)}
+            want.append((doc, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+        assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_text").collect()), key=repr) == sorted(want, key=repr)
+    assert substring_dedup.shards(make(texts), 13, 40).count() > 5
+    assert [r.n_removed for r in substring_dedup.against(make(rows[:1]), make([]), 13).collect()] == [0]
+
+
+def test_other_text_under_equal_hashes_raises(make, words, monkeypatch):
+    monkeypatch.setattr(pieces.Kind, "mark", lambda self, content: hashlib.md5(content + str(np.random.default_rng().random()).encode()).digest())
+    docs = [(i, " ".join(words(1, 60))) for i in range(3)]
+    for run in (substring_dedup.deduplicate, suffix_dedup.deduplicate):
+        with pytest.raises(Exception, match="same hashes"):
+            run(make(docs)).collect()
+
+
+def test_answers_are_shared_out():
+    assert list(pieces.within([3, 2, 4], [(0, 1), (2, 4), (8, 1)])) == [(0, [(0, 1), (2, 1)]), (1, [(0, 2)]), (2, [(0, 1), (3, 1)])]
+    assert list(pieces.within([3], [])) == []
 
 
 def test_matching_statistics():
@@ -112,23 +134,51 @@ def test_pieces_hold_every_window_once():
         assert all(len(x) == 1 for x in anchors.values())
 
 
-@pytest.mark.parametrize("memory", [1 << 25, 3, 25])
-def test_induced_sorting(memory):
+def sorted_by_induction(t, depth, folder, memory, names):
+    own = Folder(folder, memory, names)
+    text = np.concatenate((t.astype(np.uint8), np.zeros(induced.PAD, np.uint8)))
+    order, common = [], []
+    for at, lcp in suffixes(text, len(t), depth, own):
+        order += at.tolist()
+        common += lcp.tolist()
+    return order, common, own.counters
+
+
+@pytest.mark.parametrize("memory", [1 << 20, 3, 25])
+def test_induced_sorting(memory, monkeypatch, tmp_path):
+    monkeypatch.setattr(induced, "CHUNK", 1 << 18 if memory > 25 else 7)
     r = np.random.default_rng(memory)
-    for trial in range(60):
+    levels = 0
+    for trial in range(90):
         n, sigma, depth = int(r.integers(1, 250)), int(r.integers(1, 6)), int(r.integers(2, 40))
         t = r.integers(0, sigma, n).astype(np.uint8)
         if trial % 3 == 0:
             t = np.concatenate([t, t[: n // 2], np.zeros(1, np.uint8), t])
-        t = t if trial % 2 else t.astype(np.int64)
-        order, common = [], []
-        with tempfile.TemporaryDirectory() as folder:
-            for at, lcp in suffixes(t, depth, folder, memory):
-                order += at.tolist()
-                common += [0, *lcp[1:].tolist()]
-        keys = [(*t[i : i + depth].tolist(), *([10**9] if i + depth > len(t) else [])) for i in range(len(t))]
+        with tempfile.TemporaryDirectory(dir=tmp_path) as folder:
+            order, common, counters = sorted_by_induction(t, depth, folder, memory, memory)
+        levels = max(levels, counters.levels)
+        keys = [tuple(t[i : i + depth].tolist()) for i in range(len(t))]
         assert sorted(order) == list(range(len(t))) and [keys[i] for i in order] == sorted(keys, reverse=True)
         for k in range(1, len(order)):
             a, b = order[k - 1], order[k]
             same = next((x for x in range(depth) if a + x >= len(t) or b + x >= len(t) or t[a + x] != t[b + x]), depth)
-            assert min(common[k], depth) == same
+            assert min(common[k], depth) == same or (common[k] > same and max(a, b) + same == len(t))  # what is behind the end may count as zeros
+    assert levels > 1 or memory > 25
+
+
+def test_a_shard_of_the_query_is_sorted_beyond_memory(tmp_path):
+    """With the query's own bounds, half a shard spills its queues and recurses on its names."""
+    r = np.random.default_rng(0)
+    words = [bytes(r.integers(97, 123, int(k)).astype(np.uint8)) for k in r.integers(2, 9, 3000)]
+    texts = [b" ".join(words[i] for i in r.integers(0, 3000, 60)) for _ in range(suffix_dedup.SHARD_BYTES // 2 // 390)]
+    texts += texts[:50]
+    folder = Folder(str(tmp_path))
+    spool = suffix_dedup.Spool(folder, 200)
+    part = pieces.pa.struct([("mh", "int64"), ("ch", "int64"), ("n", "int32"), ("weight", "int64")])
+    texts = [t for t in texts if len(t) >= 200]
+    rows = pieces.pa.array([[{"mh": 0, "ch": i, "n": len(t) - 199, "weight": 1}] for i, t in enumerate(texts)], pieces.pa.list_(part))
+    spool.fill(iter([pieces.pa.RecordBatch.from_arrays([rows, pieces.pa.array(texts, pieces.pa.binary())], names=["parts", "text"])]))
+    got = {ch: spans for b in spool.answers(lambda content: b"") for ch, spans in zip(b.column(1).to_pylist(), b.column(4).to_pylist())}
+    twice = {t for t, n in Counter(texts).items() if n > 1}
+    assert got == {i: [{"off": 0, "k": len(t) - 199}] for i, t in enumerate(texts) if t in twice}
+    assert folder.counters.spilled > 0 and folder.counters.levels > 1
