@@ -4,17 +4,21 @@ Seeds are e-mail addresses, IP addresses, card numbers and phone numbers in thei
 forms.  The words around a seed induce lexical patterns: the two before, the one before
 with the one after, the two after.  A pattern with ``SUPPORT`` different seeds of a kind
 is then looked up in the whole corpus, and its confidence is the share of what it stands
-next to that is known: seeds count fully, other identifier-like tokens as far as their
-own patterns vouch for them (noisy or), plain words not at all.  Confidences and
-instance scores are iterated over the pattern-instance graph as joins; identifier-like
-tokens at patterns of at least ``CONFIDENCE`` are added as spans of the pattern's kind.
+next to that is known: seeds count fully, other identifier-like instances as far as their
+own patterns vouch for them (noisy or), plain words not at all.  An instance is a token,
+or a run of tokens of digits and number punctuation, with the patterns around the run.
+Confidences and instance scores are iterated over the pattern-instance graph as joins;
+identifier-like instances at patterns of at least ``CONFIDENCE`` are added as spans of the
+pattern's kind.
 
-Patterns are broadcast in parts of at most ``PART`` hashes, one pass over the texts for
-each part, so no broadcast grows with the corpus.
+Patterns are broadcast in parts of at most ``PART`` hashes; each part has a pass over the
+texts, whose finds are written before the next part is fetched, so no broadcast grows
+with the corpus.
 
 Defined cases: null and empty texts have no spans; overlapping spans of different kinds
-all count; a token that a base span touches is never added; equal rows (id and text)
-count once as evidence and each keep their row; other columns are ignored.  Offsets are
+all count; an instance that a base span touches is never added; equal rows (id and text)
+count once as evidence of identifiers, their plain words at each place, and each keep their
+row; other columns are ignored.  Offsets are
 code points, ends exclusive.
 """
 
@@ -34,7 +38,9 @@ from heronbase.llm.pieces import Hasher, mixed
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
-PART = 1 << 20
+PART = 1 << 22
+#: Bytes of tokens that can stand in a run, and the fewest digits that make one an instance.
+NUMERIC, DIGITS = np.isin(np.arange(256), np.frombuffer(b"0123456789()+-./", np.uint8)), 7
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -44,7 +50,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TOKEN = re.compile(r"[^ \t-\r]+")
+_SPACE = re.compile(r"[ \t-\r]")
 
 
 def luhn(digits: str) -> bool:
@@ -95,6 +101,7 @@ class Line:
         self.text = text
         raw = text.lower().encode() if text.isascii() else text.encode().lower()
         s, e, self.w = h.words(raw)
+        self.raw, self.at = raw, (s, e)
         if len(raw) == len(text):
             self.starts, self.ends = s, e
         else:
@@ -112,17 +119,34 @@ class Line:
         return np.stack(out, axis=1)
 
 
+    def instances(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and last token of every instance: the tokens, but runs of numeric ones as one."""
+        every = np.arange(len(self.w))
+        b = np.frombuffer(self.raw, np.uint8)
+        count = lambda x: np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
+        fits, digits = count(NUMERIC[b]), count((b >= 48) & (b <= 57))
+        s, e = self.at
+        numeric = (fits[e] - fits[s] == e - s) & (digits[e] > digits[s])
+        if not (numeric[1:] & numeric[:-1]).any():
+            return every, every
+        goes_on = np.concatenate(([False], numeric[1:] & numeric[:-1]))
+        first = np.flatnonzero(~goes_on)
+        return first, np.append(first[1:], len(every)) - 1
+
+
 def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    """A token without the punctuation around it."""
-    while start < end and not (text[start].isalnum() or text[start] in "+@"):
-        start += 1
+    """An instance without the punctuation around it, but for a parenthesis that closes within."""
     while end > start and not text[end - 1].isalnum():
         end -= 1
+    while start < end and not (text[start].isalnum() or text[start] in "+@" or (text[start] == "(" and ")" in text[start:end])):
+        start += 1
     return start, end
 
 
 def identifier(token: str) -> bool:
-    return len(token) >= 5 and ("@" in token or sum(c.isdigit() for c in token) >= 3)
+    """Does an instance look like one? A run of tokens needs ``DIGITS`` digits."""
+    digits = sum(c.isdigit() for c in token)
+    return digits >= DIGITS if _SPACE.search(token) else len(token) >= 5 and ("@" in token or digits >= 3)
 
 
 def value(token: str) -> int:
@@ -159,7 +183,7 @@ def seeds(keyed: DataFrame) -> DataFrame:
 
 
 def matches(keyed: DataFrame, patterns: np.ndarray) -> DataFrame:
-    """Where ``patterns`` stand, seeds aside: identifier-like tokens as ``pattern, value, doc, ver, start, end``, plain ones counted as ``pattern, n``."""
+    """Written: where ``patterns`` stand, seeds aside: identifier-like tokens as ``pattern, value, doc, ver, start, end``, plain ones counted as ``pattern, n``."""
     shared = keyed.sparkSession.sparkContext.broadcast(np.sort(patterns.view(np.uint64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +198,8 @@ def matches(keyed: DataFrame, patterns: np.ndarray) -> DataFrame:
                 if not text:
                     continue
                 line = Line(h, text)
-                every = np.arange(len(line.w))
-                p = line.patterns(every, every)
+                first, last = line.instances()
+                p = line.patterns(first, last)
                 some = maybe[(p & np.uint64((1 << 22) - 1)).astype(np.int64)]
                 token, which = np.nonzero(some)
                 if not len(token):
@@ -187,7 +211,7 @@ def matches(keyed: DataFrame, patterns: np.ndarray) -> DataFrame:
                     continue
                 spans = base_spans(text)
                 for i, x in zip(token.tolist(), hit.tolist(), strict=True):
-                    s, e = trimmed(text, int(line.starts[i]), int(line.ends[i]))
+                    s, e = trimmed(text, int(line.starts[first[i]]), int(line.ends[last[i]]))
                     if any(a < e and s < z for _, a, z in spans):
                         continue
                     if identifier(text[s:e]):
@@ -198,7 +222,9 @@ def matches(keyed: DataFrame, patterns: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     schema = pa.schema([(k, pa.int64()) for k in ("pattern", "value", "doc", "ver", "start", "end", "n")])
-    return keyed.select("doc", "ver", "text").mapInArrow(run, "pattern long, value long, doc long, ver long, start long, end long, n long")
+    found = materialize(keyed.select("doc", "ver", "text").mapInArrow(run, "pattern long, value long, doc long, ver long, start long, end long, n long"), "matches")
+    shared.destroy()
+    return found
 
 
 def confidences(known: DataFrame, found: DataFrame, support: int, rounds: int) -> DataFrame:
@@ -212,7 +238,8 @@ def confidences(known: DataFrame, found: DataFrame, support: int, rounds: int) -
     graph = base.withColumn("confidence", F.col("support") / (F.col("size") + F.col("plain")))
     for _ in range(rounds):
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999)))))
-        instances = unseen.join(graph, "pattern").groupBy("value", "kind").agg((F.lit(1.0) - doubt).alias("score"))
+        # written first: a value or pattern that stands in very many places is then a skewed join, which Spark splits
+        instances = materialize(unseen.join(graph, "pattern").groupBy("value", "kind").agg((F.lit(1.0) - doubt).alias("score")), "scores")
         vouched = unseen.join(instances, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("vouched"))
         known_part = F.col("support") + F.coalesce(F.col("vouched"), F.lit(0.0)) * F.col("confidence")
         graph = base.join(graph.select("pattern", "kind", "confidence"), ["pattern", "kind"]).join(vouched, ["pattern", "kind"], "left")
@@ -237,7 +264,6 @@ def extract(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDE
             if len(hashes):
                 one = matches(keyed, hashes)
                 found = one if found is None else found.union(one)
-        found = materialize(found, "matches")
         known = known.join(asked, "pattern", "left_semi")
         sure = confidences(known, found, support, rounds).where(F.col("confidence") >= confidence)
         best = sure.groupBy("pattern").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("kind"))).alias("best"))

@@ -8,6 +8,10 @@ one before, and the words.  Training reads
 at most ``rows`` labelled documents, those with the smallest hash of their id, in one
 task; scoring reads every whole text.
 
+``selected`` needs a cut on the tail probability.  Every fifth training row is set aside
+first, a model of the others scores them, and the cut lies between the score that ``KEEP``
+of the good ones among them reach and the next lower one of the others.
+
 Grades are the whole numbers from 0 to the largest one among the labels that train.
 Defined cases: as for toxicity; with fewer than two grades all expected grades are that
 grade (0 without labels) and every tail probability is 1; grades below 0 count as 0.
@@ -31,6 +35,10 @@ BITS = 18
 ROWS = 16_384
 STEPS = 50_000
 GAP = 1e-3
+#: Share of rows with the wanted grade that the cut keeps, as far as training rows tell.
+KEEP = 0.99
+#: Stands for the cut where a model travels as rows.
+CUT = -(2**31)
 
 
 def features(h, texts: list[bytes]) -> list[np.ndarray]:
@@ -92,8 +100,29 @@ class CumulativeLink:
             self.theta[k] = max(self.theta[k], self.theta[k - 1] + GAP)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, steps: int = STEPS) -> tuple | None:
-    """Features, weights and thresholds; None without labels.  Passes are repeated up to ``steps`` steps, 4 passes at least and 50 at most."""
+def fitted(seen: list[tuple[np.ndarray, int]], grades: int, steps: int) -> CumulativeLink:
+    """Passes over the rows in their order, up to ``steps`` steps, 4 passes at least and 50 at most."""
+    model = CumulativeLink(grades)
+    for _ in range(min(50, max(4, steps // len(seen)))):
+        for at, y in seen:
+            model.learn(at, y)
+    return model
+
+
+def cut_of(seen: list[tuple[np.ndarray, int]], grades: int, steps: int, tail: int) -> float:
+    """The cut that rows set aside suggest; 0.5 if they or the others lack one of the two kinds."""
+    aside, rest = seen[::5], [x for i, x in enumerate(seen) if i % 5]
+    if not 0 < tail < grades or len({y >= tail for _, y in aside}) < 2 or len({y >= tail for _, y in rest}) < 2:
+        return 0.5
+    model = fitted(rest, grades, steps)
+    p = np.array([1 - model.below(model.w[at].sum())[tail] for at, _ in aside])
+    good = np.array([y >= tail for _, y in aside])
+    least = float(np.sort(p[good])[int((1 - KEEP) * good.sum())])
+    return (least + float(p[~good & (p < least)].max(initial=0.0))) / 2
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, steps: int = STEPS, tail: int = 1) -> tuple | None:
+    """Features, weights, thresholds and the cut; None without labels."""
     small_batches(docs.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,29 +135,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
         seen = [(np.frombuffer(f, "<i4"), max(0, int(y))) for b in batches for f, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         if not seen:
             return
-        model = CumulativeLink(max(y for _, y in seen) + 1)
-        for _ in range(min(50, max(4, steps // len(seen)))):
-            for at, y in seen:
-                model.learn(at, y)
+        grades = max(y for _, y in seen) + 1
+        model, cut = fitted(seen, grades, steps), cut_of(seen, grades, steps, tail)
         at = np.flatnonzero(model.w)
         k = len(model.theta)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, -1 - np.arange(k))).astype(np.int32)), pa.array(np.concatenate((model.w[at], model.theta)))], names=["feature", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((at, -1 - np.arange(k), [CUT])).astype(np.int32)), pa.array(np.concatenate((model.w[at], model.theta, [cut])))], names=["feature", "weight"])
 
     found = sample(docs, labels, label, rows).mapInArrow(extract, "order long, features binary, y double")
     got = found.repartition(1).sortWithinPartitions("order", "features").mapInArrow(fit, "feature int, weight double").collect()
     if not got:
         return None
     at, w = np.array([r.feature for r in got]), np.array([r.weight for r in got])
-    return at[at >= 0], w[at >= 0], w[at < 0][np.argsort(-at[at < 0])]
+    theta = (at < 0) & (at != CUT)
+    return at[at >= 0], w[at >= 0], w[theta][np.argsort(-at[theta])], float(w[at == CUT][0])
 
 
-def score(docs: DataFrame, labels: DataFrame, tail: int = 1, cut: float = 0.5, rows: int = ROWS) -> DataFrame:
-    """All columns of ``docs`` and ``held_out, expected_grade, tail`` (probability of grade ``tail`` or above), ``selected`` (tail at least ``cut``)."""
-    model = train(docs, labels, rows=rows)
+def score(docs: DataFrame, labels: DataFrame, tail: int = 1, cut: float | None = None, rows: int = ROWS) -> DataFrame:
+    """All columns of ``docs`` and ``held_out, expected_grade, tail`` (probability of grade ``tail`` or above), ``selected`` (tail at least ``cut``, which training rows set if it is not given)."""
+    model = train(docs, labels, rows=rows, tail=tail)
     base = docs.withColumns({"held_out": held_out(), "expected_grade": F.lit(0.0), "tail": F.lit(1.0)})
     if model is not None and len(model[2]):
-        base = base.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), tail), base.schema)  # at most 2**BITS weights
-    return base.withColumn("selected", F.col("tail") >= cut)
+        base = base.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model[:3]), tail), base.schema)  # at most 2**BITS weights
+    return base.withColumn("selected", F.col("tail") >= (cut if cut is not None else model[3] if model else 0.5))
 
 
 def _scorer(shared, tail: int):

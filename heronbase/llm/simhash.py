@@ -34,9 +34,9 @@ from heronbase.llm.common import NULL_ID, doc_key, materialize, pick, small_batc
 
 PARTS = 2
 #: Distinct fingerprints that a shard should hold, and the most shards of a tree.
-SHARD, MOST_SHARDS = 20_000, 4096
+SHARD, MOST_SHARDS = 20_000, 65_536
 #: Sampled fingerprints for each shard of the upper tree.
-SAMPLE = 32
+SAMPLE = 16
 LEAF = 64
 
 
@@ -230,10 +230,12 @@ def connected(edges: DataFrame) -> DataFrame:
         before = tuple(now)
         # large star: neighbours above a node go to the smallest of its neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written first: a node with very many neighbours is then a skewed join, which Spark splits
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "lowest")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its neighbours below go to the smallest of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large-stars")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
 
