@@ -212,20 +212,26 @@ def equal(keys: Keys, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndar
 
 
 def doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of ``names`` by their first ``depth`` names."""
+    """Order of the suffixes of ``names`` by their first ``depth`` names; those that still have equals are sorted again, by twice as many."""
     n, step = len(names), 1
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64) + 1
-    while step < depth and rank.max() < n:
-        after = np.zeros(n, np.int64)  # behind the end stands the least
-        if step < n:
-            after[: n - step] = rank[step:]
-        both = rank * (n + 2) + after
-        order = np.argsort(both, kind="stable")
-        s = both[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([1], s[1:] != s[:-1])))
+    order = np.argsort(names)
+    rank = np.zeros(n + 1, np.int64)  # places before the group, from 1 on; behind the end stands the least
+    some = order  # what is not alone in its group, group by group
+    at = np.arange(n)  # its places in the order
+    key = names[order].astype(np.int64)
+    while True:
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        head = np.flatnonzero(new)
+        rank[some] = at[head][np.cumsum(new) - 1] + 1
+        tied = np.repeat(np.diff(np.append(head, len(some))) > 1, np.diff(np.append(head, len(some))))
+        some, at = some[tied], at[tied]
+        if not len(some) or step >= depth:
+            return order
+        key = rank[some] * (n + 2) + rank[np.minimum(some + step, n)]
+        by = np.argsort(key)
+        some, key = some[by], key[by]
+        order[at] = some
         step *= 2
-    return np.argsort(rank, kind="stable")
 
 
 def lms_places(text: np.ndarray, n: int, folder: Folder) -> np.ndarray:

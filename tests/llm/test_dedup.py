@@ -102,7 +102,7 @@ def test_against_reference(spark, make, words):
 
 
 def test_other_text_under_equal_hashes_raises(make, words, monkeypatch):
-    monkeypatch.setattr(pieces.Kind, "mark", lambda self, content: hashlib.md5(content + str(np.random.default_rng().random()).encode()).digest())
+    monkeypatch.setattr(pieces.Kind, "mark", lambda self, tokens: int(np.random.default_rng().integers(1 << 60)))
     docs = [(i, " ".join(words(1, 60))) for i in range(3)]
     for run in (substring_dedup.deduplicate, suffix_dedup.deduplicate):
         with pytest.raises(Exception, match="same hashes"):
@@ -174,11 +174,10 @@ def test_a_shard_of_the_query_is_sorted_beyond_memory(tmp_path):
     texts += texts[:50]
     folder = Folder(str(tmp_path))
     spool = suffix_dedup.Spool(folder, 200)
-    part = pieces.pa.struct([("mh", "int64"), ("ch", "int64"), ("n", "int32"), ("weight", "int64")])
     texts = [t for t in texts if len(t) >= 200]
-    rows = pieces.pa.array([[{"mh": 0, "ch": i, "n": len(t) - 199, "weight": 1}] for i, t in enumerate(texts)], pieces.pa.list_(part))
+    rows = pieces.pa.array([[{"mh": 0, "ch": i, "n": len(t) - 199, "weight": 1, "spread": False}] for i, t in enumerate(texts)], pieces.pa.list_(pieces.PART))
     spool.fill(iter([pieces.pa.RecordBatch.from_arrays([rows, pieces.pa.array(texts, pieces.pa.binary())], names=["parts", "text"])]))
-    got = {ch: spans for b in spool.answers(lambda content: b"") for ch, spans in zip(b.column(1).to_pylist(), b.column(4).to_pylist())}
+    got = {ch: spans for b in spool.answers(lambda tokens: 0) for ch, spans in zip(b.column(1).to_pylist(), b.column(4).to_pylist())}
     twice = {t for t, n in Counter(texts).items() if n > 1}
-    assert got == {i: [{"off": 0, "k": len(t) - 199}] for i, t in enumerate(texts) if t in twice}
+    assert got == {i: [] for i, t in enumerate(texts) if t in twice}
     assert folder.counters.spilled > 0 and folder.counters.levels > 1
