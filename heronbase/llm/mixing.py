@@ -12,8 +12,8 @@ the id (of the text, where the id is null), id, size.  Documents of like size th
 words taken follow the copies closely.  The running sum never puts a source into
 one task: ranks are counted within (source, size class, bucket) and shifted by
 the counts of the groups before.  Those counts do meet in one task a source: a row for
-each class and bucket, at most 256 times the classes there are (31 up to size 31, 16 for
-each doubling beyond), so less than 100,000 rows whatever the number of documents.
+each class and bucket, at most 256 times the classes there are (32 below size 32, 16 for
+each doubling beyond): 70,000 for texts of up to a million words, however many they are.
 
 Defined cases: a null or empty text has size 0 and is still dealt copies; a null
 source is a source of its own, last in order; equal rows are dealt in turn; a

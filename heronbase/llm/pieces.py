@@ -11,7 +11,7 @@ Hashes only route and fold.  Copies of a piece are one content; one text of each
 whose anchor occurs more than once goes to the caller's method, together with the others
 under its anchor, and the method's answer is joined back to every copy.  There the copy's
 own text is held against a cryptographic digest of the text that was answered for, so no
-two contents with equal hashes can pass for each other: that raises.  A content that is
+two contents with equal hashes can pass for each other unnoticed: that raises.  A content that is
 alone under its anchor has no other one to be compared with; such neighbours in a
 document travel as one stretch.
 
@@ -49,11 +49,11 @@ BASE = 0x9E3779B97F4A7C15
 PIECES = "doc long, ver long, start long, n int, reps int, mh long, ch long"
 #: ``more``: places in other documents that were combined into this row; ``known``: combined into another row.
 FOUND = PIECES + ", more int, known boolean"
-#: What the method gets: one text with the contents that it is made of (``weight``: places of each), in order.
-PART = "struct<mh:long,ch:long,n:int,weight:long>"
-TEXTS = f"mh long, doc long, parts array<{PART}>, text binary"
-#: What it answers: windows of a content that repeat, for its first document and, with ``later``, for all others.
-ANSWERS = "mh long, ch long, later boolean, mark binary, spans array<struct<off:int,k:int>>"
+#: What the method gets: one text with the contents that it is made of, in order (``weight``: places of each; ``spread``: documents after its first hold it too).
+PART = pa.struct([("mh", pa.int64()), ("ch", pa.int64()), ("n", pa.int32()), ("weight", pa.int64()), ("spread", pa.bool_())])
+TEXTS = "mh long, doc long, parts array<struct<mh:long,ch:long,n:int,weight:long,spread:boolean>>, text binary, hot boolean"
+#: What it answers: windows of a content that repeat (no spans: all), for its first document and, with ``later``, for all others.
+ANSWERS = "mh long, ch long, later boolean, mark long, spans array<struct<off:int,k:int>>"
 
 
 class Collision(ValueError):
@@ -143,9 +143,12 @@ class Kind:
     def symbols(self, h: Hasher, text: bytes) -> np.ndarray:
         return h.words(text)[2] if self.words else h.bytes[np.frombuffer(text, np.uint8)]
 
-    def mark(self, content: bytes) -> bytes:
-        """A digest that equal symbols share and nothing else does."""
-        return hashlib.blake2b(b" ".join(content.split()) if self.words else content, digest_size=16).digest()
+    def tokens(self, text: bytes) -> bytes | list[bytes]:
+        return text.split() if self.words else text
+
+    def mark(self, tokens: bytes | list[bytes]) -> int:
+        """A cryptographic digest of a content."""
+        return int.from_bytes(hashlib.blake2b(b" ".join(tokens) if self.words else tokens, digest_size=8).digest(), "little", signed=True)
 
     def content(self, h: Hasher, text: bytes, starts: np.ndarray, ns: np.ndarray) -> list[bytes]:
         ends = starts + ns + self.width - 1
@@ -155,8 +158,8 @@ class Kind:
         return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """``id, doc, ver, z``: the row's id as given, its comparable id, a mark that tells texts under one id apart, the packed text."""
+def documents(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``id, doc, ver, z``: the row's id as given, its comparable id, a mark that tells texts under one id apart, the packed text; and whether ids repeat."""
     small_batches(docs.sparkSession)
     own = pick(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), doc_key().alias("doc"), F.col("text").cast("string").alias("text"))
     repeats = bool(own.groupBy("doc").count().where("count > 1").head(1))
@@ -171,7 +174,7 @@ def documents(docs: DataFrame) -> DataFrame:
             ver = np.array([xxh3_64_intdigest(t) if repeats else 0 for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ver), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["id", "doc", "ver", "z"])
 
-    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, doc long, ver long, z binary")
+    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, doc long, ver long, z binary"), repeats
 
 
 def unpack(z: bytes) -> bytes:
@@ -246,23 +249,25 @@ def settle(found: DataFrame, first: bool) -> DataFrame:
     met = Window.partitionBy("at", "known")
     same = Window.partitionBy("at", "known", "ch")
     n = found.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    x = found.repartition(int(n), "at").withColumn("nth", F.row_number().over(same.orderBy("doc", "start", "ver")))
-    x = x.withColumn("weight", F.sum(F.col("reps") + F.col("more")).over(same)).withColumn("lo", F.min("doc").over(same))
-    x = x.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(met)).withColumn("least", F.min("doc").over(met)).withColumn("most", F.max("doc").over(met))
-    x = x.withColumn("folded", F.sum("more").over(same)).withColumn("last", F.max("doc").over(same))
-    x = x.withColumn("elsewhere", F.sum("more").over(met)).withColumn("places", F.sum(F.col("reps") + F.col("more")).over(met))
-    x = x.where(F.expr("known or elsewhere > 0 or least < most" if first else "known or places > 1"))
-    later = F.expr("known or doc > lo") if first else F.lit(False)
-    x = x.withColumn("spread", F.expr("folded > 0 or last > lo"))
+    x = found.repartition(int(n), "at")
+    # most anchors occur once, and go before anything else is computed
+    if first:
+        x = x.withColumns({"least": F.min("doc").over(met), "most": F.max("doc").over(met), "elsewhere": F.sum("more").over(met)}).where("known or elsewhere > 0 or least < most")
+        x = x.withColumns({"lo": F.min("doc").over(same), "last": F.max("doc").over(same), "folded": F.sum("more").over(same)})
+        later, spread = F.expr("known or doc > lo"), F.expr("folded > 0 or last > lo")
+    else:
+        x = x.withColumn("places", F.sum(F.col("reps") + F.col("more")).over(met)).where("known or places > 1")
+        later = spread = F.lit(False)
+    x = x.withColumn("weight", F.sum(F.col("reps") + F.col("more")).over(same)).withColumn("nth", F.row_number().over(same.orderBy("doc", "start", "ver")))
+    x = x.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(met))
     rep = F.expr("not known and nth = 1")
-    return x.select("doc", "ver", "start", "n", "reps", "mh", "ch", later.alias("later"), rep.alias("rep"), F.col("weight").cast("long").alias("weight"), (F.col("kinds") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot"), "spread")
+    return x.select("doc", "ver", "start", "n", "reps", "mh", "ch", later.alias("later"), rep.alias("rep"), F.col("weight").cast("long").alias("weight"), spread.alias("spread"), (F.col("kinds") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot"))
 
 
 def with_text(packed: DataFrame, reps: DataFrame, kind: Kind) -> DataFrame:
-    """The texts of ``doc, ver, start, n, mh, ch, weight, single``; single ones that follow each other in a document as one."""
-    by_doc = reps.groupBy("doc", "ver").agg(F.array_sort(F.collect_list(F.struct("start", "n", "mh", "ch", "weight", "single"))).alias("own"))
+    """The texts of ``doc, ver, start, n, mh, ch, weight, spread, single, hot``; single ones that follow each other in a document as one."""
+    by_doc = reps.groupBy("doc", "ver").agg(F.array_sort(F.collect_list(F.struct("start", "n", "mh", "ch", "weight", "spread", "single", "hot"))).alias("own"))
     near = packed.select("doc", "ver", "z").join(by_doc, ["doc", "ver"])
-    part = pa.struct([("mh", pa.int64()), ("ch", pa.int64()), ("n", pa.int32()), ("weight", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(STRETCH + kind.width)
@@ -276,66 +281,70 @@ def with_text(packed: DataFrame, reps: DataFrame, kind: Kind) -> DataFrame:
                 head = np.flatnonzero(begins)
                 whole = np.add.reduceat(n.astype(np.int64), head)
                 texts = kind.content(h, text, start[head].astype(np.int64), whole)
-                parts = pa.StructArray.from_arrays([own.field(k).cast(t.type) for k, t in zip(("mh", "ch", "n", "weight"), part, strict=True)], fields=list(part))
+                parts = pa.StructArray.from_arrays([own.field(t.name).cast(t.type) for t in PART], fields=list(PART))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(n)).astype(np.int32)), parts)
-                yield pa.RecordBatch.from_arrays([own.field("mh").take(pa.array(head)), pa.array(np.full(len(head), doc, np.int64)), lists, pa.array(texts, pa.binary())], names=["mh", "doc", "parts", "text"])
+                at = pa.array(head)
+                yield pa.RecordBatch.from_arrays([own.field("mh").take(at), pa.array(np.full(len(head), doc, np.int64)), lists, pa.array(texts, pa.binary()), own.field("hot").take(at)], names=["mh", "doc", "parts", "text", "hot"])
 
     return near.mapInArrow(run, TEXTS)
 
 
 def dealt_anew(texts: DataFrame, kind: Kind) -> DataFrame:
-    """Every window of the contents: its hash ``w``, its place ``off`` in content ``mh, ch`` with digest ``mark``; places of the content as ``weight``."""
+    """Every window of the contents: its hash ``w`` and its text; its place ``off`` in content ``mh, ch`` with digest ``mark``, whose first document is ``doc``, whose places are ``weight`` and which is ``spread``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(STRETCH + kind.width)
         for b in batches:
-            for parts, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, parts, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 (own,) = parts
-                mark = kind.mark(text)
+                tokens = kind.tokens(text)
+                mark = kind.mark(tokens)
                 for off, _, w, _ in cut(h, kind.symbols(h, text), kind.width, kind.width):  # the whole window is its own gram
                     k = len(off)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(w.view(np.int64)), pa.array(off.astype(np.int32)), *(pa.array(np.full(k, own[x], np.int64)) for x in ("mh", "ch", "weight")), pa.array([mark] * k, pa.binary())], names=["w", "off", "mh", "ch", "weight", "mark"]
-                    )
+                    each = [tokens[i : i + kind.width] for i in off.tolist()]
+                    columns = [pa.array(w.view(np.int64)), pa.array(off.astype(np.int32)), *(pa.array(np.full(k, x, np.int64)) for x in (own["mh"], own["ch"], own["weight"], mark, doc)), pa.array(np.full(k, own["spread"]))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([b" ".join(x) for x in each] if kind.words else each, pa.binary())], names=["w", "off", "mh", "ch", "weight", "mark", "doc", "spread", "text"])
 
-    return texts.select("parts", "text").mapInArrow(run, "w long, off int, mh long, ch long, weight long, mark binary")
+    return texts.select("doc", "parts", "text").mapInArrow(run, "w long, off int, mh long, ch long, weight long, mark long, doc long, spread boolean, text binary")
 
 
 Method = Callable[[DataFrame, int], DataFrame]
 
 
-def of_hot(packed: DataFrame, settled: DataFrame, kind: Kind, first: bool, method: Method) -> DataFrame:
+def of_hot(texts: DataFrame, kind: Kind, first: bool, method: Method) -> DataFrame:
     """Answers for contents under hot anchors, put together from answers for their windows."""
-    reps = settled.where("rep and hot").withColumn("single", F.lit(False))
-    wins = dealt_anew(with_text(packed, reps, kind), kind)
-    # the content's first place, and whether later documents hold it too
-    of = reps.select("mh", "ch", F.struct("doc", "ver", "start").alias("at"), F.col("spread").alias("more"))
-    wins = materialize(wins.join(of, ["mh", "ch"]).withColumn("at", F.struct("at.doc", "at.ver", (F.col("at.start") + F.col("off")).alias("start"))), "windows")
-    per = wins.groupBy("w").agg(F.min("at").alias("first"), F.max("at.doc").alias("most"), F.bool_or("more").alias("more"), F.sum("weight").alias("weight"))
-    per = materialize(per.where("more or first.doc < most" if first else "weight > 1"), "repeated-windows")
-    asked = per.select("first.doc", "first.ver", "first.start", F.lit(1).alias("n"), F.col("w").alias("mh"), F.col("w").alias("ch"), "weight", F.lit(True).alias("single"))
-    texts = with_text(packed, asked, kind)
-    found = materialize(method(texts, per.count() * (kind.width + 1)).where(F.size("spans") > 0).select(F.col("mh").alias("w"), F.col("later").alias("after")), "window-answers")
-    each = wins.withColumn("later", F.explode(F.array(F.lit(False), F.lit(True)))).where(F.expr("not later or more") if first else F.expr("not later"))
-    each = each.join(per.select("w", F.col("first.doc").alias("lo")), "w").withColumn("after", F.expr("later or at.doc > lo") if first else F.lit(False))
-    hits = each.join(found, ["w", "after"])
-    return hits.groupBy("mh", "ch", "later").agg(F.first("mark").alias("mark"), F.collect_set(F.struct("off", F.lit(1).alias("k"))).alias("spans"))
-
-
-def repeated(packed: DataFrame, kind: Kind, first: bool, method: Method) -> DataFrame:
+    wins = materialize(dealt_anew(texts, kind), "windows")
+    one = F.xxhash64("mh", "ch", "off")  # tells the places of a window apart
+    per = wins.groupBy("w").agg(F.min("doc").alias("lo"), F.max("doc").alias("most"), F.bool_or("spread").alias("any"), F.sum("weight").alias("all"), F.min(one).alias("one"))
+    per = materialize(per.where("any or lo < most" if first else "all > 1"), "repeated-windows")
+    part = F.struct(F.col("w").alias("mh"), F.col("w").alias("ch"), F.lit(1).alias("n"), F.col("all").alias("weight"), F.expr("any or lo < most").alias("spread"))
+    asked = wins.select("w", "text", one.alias("own")).join(per, "w").where("own = one").select(F.col("w").alias("mh"), F.col("lo").alias("doc"), F.array(part).alias("parts"), "text")
+    found = materialize(method(asked, per.count() * (kind.width + 1)).select(F.col("mh").alias("w"), F.col("later").alias("after")).distinct(), "window-answers")
+    each = wins.drop("text").join(per.select("w", "lo"), "w").withColumn("later", F.explode(F.array(F.lit(False), F.lit(True)))).where(F.expr("not later or spread") if first else F.expr("not later"))
+    hits = each.withColumn("after", F.expr("later or doc > lo") if first else F.lit(False)).join(found, ["w", "after"])
+    return hits.groupBy("mh", "ch", "later").agg(F.min("mark").alias("mark"), F.collect_set(F.struct("off", F.lit(1).alias("k"))).alias("spans"))
+
+
+def repeated(packed: DataFrame, kind: Kind, first: bool, method: Method, repeats: bool) -> DataFrame:
     """``doc, ver, own``: each document's pieces with repeated windows, and what the method says of them.
 
-    ``method`` gets texts (``TEXTS``) and the number of symbols in them, and answers (``ANSWERS``).
+    ``method`` gets texts (``TEXTS``) and the number of symbols in them, and answers
+    (``ANSWERS``).  Where ids repeat (``repeats``), very many rows may be equal: the result is
+    written, so that they make a skewed join, which Spark splits.
     """
     settled = materialize(settle(pieces(packed, kind, first), first), "settled")
     asked = F.when(F.expr("rep and not hot"), F.col("n") + F.when(F.col("single"), 16).otherwise(kind.width))
     size, hot = settled.agg(F.coalesce(F.sum(asked), F.lit(0)), F.coalesce(F.bool_or("hot"), F.lit(False))).first()
-    answers = method(with_text(packed, settled.where("rep and not hot"), kind), size)
+    texts = with_text(packed, settled.where("rep"), kind)
+    if hot:
+        texts = materialize(texts, "texts")
+    answers = method(texts.where("not hot"), size)
     if hot:
-        answers = answers.unionByName(of_hot(packed, settled, kind, first, method))
+        answers = answers.unionByName(of_hot(texts.where("hot"), kind, first, method))
     answers = materialize(answers, "answers")
     found = settled.select("doc", "ver", "start", "n", "reps", "mh", "ch", "later").join(answers, ["mh", "ch", "later"])
-    return materialize(found.groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n", "reps", "mark", "spans")).alias("own")), "spans")
+    by_doc = found.groupBy("doc", "ver").agg(F.collect_list(F.struct("start", "n", "reps", "mark", "spans")).alias("own"))
+    return materialize(by_doc, "spans") if repeats else by_doc
 
 
 def within(sizes: list[int], spans: list[tuple[int, int]]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
@@ -362,7 +371,7 @@ def answered(rows: list[tuple]) -> pa.RecordBatch:
     flat = np.array([x for s in spans for x in s], np.int32).reshape(-1, 2)
     both = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["off", "k"])
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in spans]))).astype(np.int32)), both)
-    return pa.RecordBatch.from_arrays([pa.array(mh, pa.int64()), pa.array(ch, pa.int64()), pa.array(later, pa.bool_()), pa.array(mark, pa.binary()), lists], names=["mh", "ch", "later", "mark", "spans"])
+    return pa.RecordBatch.from_arrays([pa.array(mh, pa.int64()), pa.array(ch, pa.int64()), pa.array(later, pa.bool_()), pa.array(mark, pa.int64()), lists], names=["mh", "ch", "later", "mark", "spans"])
 
 
 def covered(starts: np.ndarray, ns: np.ndarray, width: int, size: int) -> np.ndarray:
@@ -373,17 +382,23 @@ def covered(starts: np.ndarray, ns: np.ndarray, width: int, size: int) -> np.nda
     return np.cumsum(edge[:-1]) > 0
 
 
-def applied(packed: DataFrame, by_doc: DataFrame, kind: Kind, schema: str, per_text: Callable[[Hasher, bytes, np.ndarray, np.ndarray], tuple]) -> DataFrame:
-    """``per_text(hasher, text, starts, ns)`` for each document with its spans, as columns after ``doc_id``."""
+def applied(packed: DataFrame, by_doc: DataFrame, kind: Kind, schema: str, per_text: Callable[[bytes | list[bytes], np.ndarray, np.ndarray], tuple]) -> DataFrame:
+    """``per_text(tokens, starts, ns)`` for each document with its spans, as columns after ``doc_id``."""
     near = packed.join(by_doc, ["doc", "ver"], "left").select("id", "z", "own")
     names = [x.split()[0] for x in schema.split(",")]
 
-    def placed(h: Hasher, text: bytes, own: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    def placed(h: Hasher, text: bytes, tokens: bytes | list[bytes], own: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
         """Spans of windows, once the text of each piece is found to be the one that was answered for."""
         start, n, reps = (own.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n", "reps"))
-        marks, spans = own.field("mark").to_pylist(), own.field("spans")
-        off, k = (spans.flatten().field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("off", "k"))
-        count = spans.value_lengths().to_numpy(zero_copy_only=False)
+        marks, spans = own.field("mark").to_numpy(zero_copy_only=False), own.field("spans")
+        given = spans.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        whole = given == 0
+        count = np.where(whole, 1, given)
+        first = np.cumsum(count) - count
+        off, k = np.zeros(int(count.sum()), np.int64), np.zeros(int(count.sum()), np.int64)
+        k[first[whole]] = n[whole]
+        at = np.repeat(first, given) + np.arange(int(given.sum())) - np.repeat(np.cumsum(given) - given, given)
+        off[at], k[at] = (spans.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("off", "k"))
         piece = np.arange(len(start))
         if (often := reps > 1).any():
             laid = Laid.of(h, kind, text)
@@ -393,12 +408,12 @@ def applied(packed: DataFrame, by_doc: DataFrame, kind: Kind, schema: str, per_t
             of = dict(zip(mine.tolist(), np.flatnonzero(often).tolist(), strict=True))
             piece = np.concatenate((piece[~often], np.array([of[x] for x in key[places].tolist()], np.int64)))
             start = np.concatenate((start[~often], laid.start[places]))
-        for content, i in zip(kind.content(h, text, start, n[piece]), piece.tolist(), strict=True):
-            if kind.mark(content) != marks[i]:
+        for a, b, mark in zip(start.tolist(), (start + n[piece] + kind.width - 1).tolist(), marks[piece].tolist(), strict=True):
+            if kind.mark(tokens[a:b]) != mark:
                 raise Collision("two contents have the same hashes")
-        first = np.cumsum(count) - count
-        which = np.repeat(first[piece], count[piece]) + np.arange(count[piece].sum()) - np.repeat(np.cumsum(count[piece]) - count[piece], count[piece])
-        return np.repeat(start, count[piece]) + off[which], k[which]
+        own_count = count[piece]
+        which = np.repeat(first[piece], own_count) + np.arange(int(own_count.sum())) - np.repeat(np.cumsum(own_count) - own_count, own_count)
+        return np.repeat(start, own_count) + off[which], k[which]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, none = Hasher(STRETCH + kind.width), np.empty(0, np.int64)
@@ -406,7 +421,8 @@ def applied(packed: DataFrame, by_doc: DataFrame, kind: Kind, schema: str, per_t
             out = []
             for i in range(b.num_rows):
                 own, text = b.column(2)[i].values, unpack(b.column(1)[i].as_py())
-                out.append(per_text(h, text, *((none, none) if own is None else placed(h, text, own))))
+                tokens = kind.tokens(text)
+                out.append(per_text(tokens, *((none, none) if own is None else placed(h, text, tokens, own))))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x)) for x in zip(*out, strict=True))], names=["doc_id", *names])
 
     return near.mapInArrow(run, f"doc_id {dict(packed.dtypes)['id']}, {schema}")

@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronbase.llm.common import materialize
-from heronbase.llm.pieces import ANSWERS, STRETCH, Hasher, Kind, answered, applied, covered, documents, repeated, unpack, within
+from heronbase.llm.pieces import ANSWERS, Kind, answered, applied, covered, documents, repeated, unpack, within
 
 #: Words in the automaton of one broadcast shard.
 SHARD_WORDS = 1_000_000
@@ -120,8 +121,8 @@ def compare(texts: DataFrame, kind: Kind) -> DataFrame:
         edges = np.concatenate(([0], np.cumsum([p["n"] for p in parts]))).tolist()
         for i, own in within([p["n"] for p in parts], spans):
             p = parts[i]
-            if not later or p["weight"] > 1:
-                yield p["mh"], p["ch"], later, kind.mark(b" ".join(words[edges[i] : edges[i + 1] + width - 1])), own
+            if not later or p["spread"]:
+                yield p["mh"], p["ch"], later, kind.mark(words[edges[i] : edges[i + 1] + width - 1]), [] if own == [(0, p["n"])] else own
 
     def of_anchor(group: list[tuple]) -> Iterator[tuple]:
         automaton = Automaton()
@@ -130,7 +131,7 @@ def compare(texts: DataFrame, kind: Kind) -> DataFrame:
         def join() -> Iterator[tuple]:
             for words, parts in waiting:
                 automaton.add(words)
-                if any(p["weight"] > 1 for p in parts):
+                if any(p["spread"] for p in parts):
                     yield from answers(parts, words, list(runs(automaton, words, width)), True)
             waiting.clear()
 
@@ -160,16 +161,13 @@ def compare(texts: DataFrame, kind: Kind) -> DataFrame:
     return texts.repartition(n, "mh").sortWithinPartitions("mh", "doc").select("mh", "doc", "parts", "text").mapInArrow(run, ANSWERS)
 
 
-def kept(text: bytes, hit: np.ndarray) -> list[bytes]:
-    words = text.split()
-    return [w for w, x in zip(words, hit.tolist(), strict=True) if not x] if hit.any() else words
-
-
-def cleaned(h: Hasher, text: bytes, starts: np.ndarray, ns: np.ndarray, width: int) -> tuple:
-    size = len(text.split())
-    hit = covered(starts, ns, width, size)
-    left = b" ".join(kept(text, hit))
-    return size, int(hit.sum()), hashlib.sha256(left).hexdigest(), left.decode()
+def cleaned(words: list[bytes], starts: np.ndarray, ns: np.ndarray, width: int) -> tuple:
+    left, gone = words, 0
+    if len(starts):
+        hit = covered(starts, ns, width, len(words))
+        left, gone = list(compress(words, (~hit).tolist())), int(hit.sum())
+    text = b" ".join(left)
+    return len(words), gone, hashlib.sha256(text).hexdigest(), text.decode()
 
 
 COLUMNS = "n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -178,9 +176,9 @@ COLUMNS = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 def deduplicate(docs: DataFrame, width: int = 13, gram: int = 5) -> DataFrame:
     """Per row ``doc_id, n_words, n_removed, kept_sha256``, with the kept words as ``kept_text``."""
     kind = Kind(width, gram, words=True)
-    packed = documents(docs)
-    by_doc = repeated(packed, kind, True, lambda texts, size: compare(texts, kind))
-    return applied(packed, by_doc, kind, COLUMNS, lambda h, text, starts, ns: cleaned(h, text, starts, ns, width))
+    packed, repeats = documents(docs)
+    by_doc = repeated(packed, kind, True, lambda texts, size: compare(texts, kind), repeats)
+    return applied(packed, by_doc, kind, COLUMNS, lambda words, starts, ns: cleaned(words, starts, ns, width))
 
 
 def shards(reference: DataFrame, width: int, shard_words: int) -> DataFrame:
@@ -228,8 +226,8 @@ def against(docs: DataFrame, reference: DataFrame, width: int = 13, shard_words:
     goes.  So the work is that of all documents for each shard: this is for references of
     a fixed size; a corpus against itself is ``deduplicate``.
     """
-    spark, kind = docs.sparkSession, Kind(width, width, words=True)
-    packed = materialize(documents(docs), "documents")
+    spark = docs.sparkSession
+    packed = materialize(documents(docs)[0], "documents")
     automata, found = shards(reference, width, shard_words), None
     for (name,) in sorted(map(tuple, automata.select("shard").collect())):  # names alone
         shared = spark.sparkContext.broadcast(automata.where(F.col("shard") == name).first().automaton)
@@ -252,13 +250,13 @@ def against(docs: DataFrame, reference: DataFrame, width: int = 13, shard_words:
     near = packed.join(by_doc, ["doc", "ver"], "left").select("id", "z", "own")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, none = Hasher(STRETCH + width), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
         for b in batches:
             out = []
             for i in range(b.num_rows):
                 own = b.column(2)[i].values
                 starts, ns = (none, none) if own is None else (own.field(k).to_numpy(zero_copy_only=False) for k in ("start", "n"))
-                out.append(cleaned(h, unpack(b.column(1)[i].as_py()), starts, ns, kind.width))
+                out.append(cleaned(unpack(b.column(1)[i].as_py()).split(), starts, ns, width))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x)) for x in zip(*out, strict=True))], names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))])
 
     return near.mapInArrow(finish, f"doc_id {dict(packed.dtypes)['id']}, {COLUMNS}")

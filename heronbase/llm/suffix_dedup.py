@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from heronbase.llm.induced import MEMORY, NAMES, PAD, Folder, suffixes
-from heronbase.llm.pieces import ANSWERS, Hasher, Kind, answered, applied, covered, documents, repeated
+from heronbase.llm.pieces import ANSWERS, Kind, answered, applied, covered, documents, repeated
 
 #: Bytes of texts that a shard should hold; some sixteen times the entries that its queues keep in memory.
 SHARD_BYTES = 16 << 20
@@ -105,7 +105,7 @@ class Spool:
             for mh, ch, a, n in zip(self.mh[lo : lo + 4096].tolist(), self.ch[lo : lo + 4096].tolist(), first.tolist(), size.tolist(), strict=True):
                 own = hit[a : a + n]
                 if own.all():
-                    spans = [(0, n)]
+                    spans = []
                 elif own.any():
                     turn = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0])))).tolist()
                     spans = [(s, e - s) for s, e in zip(turn[::2], turn[1::2], strict=True)]
@@ -131,11 +131,11 @@ def compare(texts: DataFrame, kind: Kind, shards: int, memory: int = MEMORY, nam
 def deduplicate(docs: DataFrame, width: int = 200, gram: int = 64, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY, names: int = NAMES) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with the bytes that are left as ``kept``; ``width`` is below 255."""
     kind = Kind(width, gram, words=False)
-    packed = documents(docs)
+    packed, repeats = documents(docs)
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = repeated(packed, kind, False, lambda texts, size: compare(texts, kind, max(least, size // shard_bytes + 1), memory, names))
+    by_doc = repeated(packed, kind, False, lambda texts, size: compare(texts, kind, max(least, size // shard_bytes + 1), memory, names), repeats)
 
-    def per_text(h: Hasher, text: bytes, starts: np.ndarray, ns: np.ndarray) -> tuple:
+    def per_text(text: bytes, starts: np.ndarray, ns: np.ndarray) -> tuple:
         if not len(starts):
             return len(text), 0, 0, hashlib.sha256(text).hexdigest(), text
         hit = covered(starts, ns, width, len(text))
