@@ -179,7 +179,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end: int, width: str) -> DataFra
         encode_texts, tail = encoder(vocabulary), np.array([end], width)
         counts = np.zeros(max(encode_texts.size, end + 1), np.int64)
         for b in batches:
-            ids = encode_texts([t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()])
+            ids = encode_texts(b.column(1))
             counts += np.bincount(np.concatenate(ids), minlength=len(counts)) if ids else 0
             counts[end] += len(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.append(x, tail).astype(width).tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc", "ids", "counts"])

@@ -17,6 +17,8 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: What a tokenizer's file must say for its texts to be taken a word at a time.
 WORDS = {
@@ -30,7 +32,7 @@ WORDS = {
     },
     "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
 }
-MOST_WORDS = 1_600_000
+MOST_WORDS = 640_000
 #: Words that normalization leaves as they are but for case: ASCII and the letters of Latin-1.
 PLAIN = re.compile(r"[!-~\u00df-\u00f6\u00f8-\u00ff]+")
 #: The vocabulary's own pre-tokenization, for such words.
@@ -59,8 +61,8 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
 
 
 class WordEncoder:
@@ -78,6 +80,7 @@ class WordEncoder:
         self.index: dict[bytes, int] = {}
         self.offsets = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, self.kind)
+        self._add([b""], np.empty(0, np.int64), np.zeros(1, np.int64))  # before leading and behind trailing white space
 
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Takes in ``words`` with ``sizes`` of ``ids`` each."""
@@ -138,22 +141,26 @@ class WordEncoder:
             own = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)]
             self._add(other, np.fromiter(chain.from_iterable(own), np.int64), np.array([*map(len, own)], np.int64))
 
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty.  Arrow splits the texts and folds equal words, so that each is looked up once a batch."""
         if len(self.index) > MOST_WORDS:
             self.clear()
+        texts = pc.fill_null(texts, "")
         # a special token's string is only one in lower case, so texts that may hold it keep theirs
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        every = list(chain.from_iterable(split))
+        special = pc.match_substring(texts, "<|")
+        folded = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(folded)
+        words = split.flatten().dictionary_encode()
+        every = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
         at = list(map(self.index.get, every))
         if None in at:
             missing = [i for i, x in enumerate(at) if x is None]
-            self.learn(list({every[i] for i in missing}))
+            self.learn([every[i] for i in missing])
             for i in missing:
                 at[i] = self.index[every[i]]
-        ids, size = self._gathered(np.array(at, np.int64))
-        words = np.cumsum([len(x) for x in split])
-        cuts = np.concatenate(([0], np.cumsum(size)))[words] if len(words) else []
+        ids, size = self._gathered(np.array(at, np.int64)[words.indices.to_numpy()])
+        ends = np.cumsum(split.value_lengths().to_numpy())
+        cuts = np.concatenate(([0], np.cumsum(size)))[ends] if len(ends) else []
         return np.split(ids, cuts[:-1]) if len(texts) else []
 
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -335,7 +336,8 @@ def test_tokens_equal_the_library():
     path, r = vocabulary("word_bpe_49k.json"), random.Random(0)
     library, mine = Tokenizer.from_file(path), WordEncoder(path)
     texts = ODD + ["".join(r.choice("aAbé.,!' \n1²ß<|>́ ") for _ in range(30)) for _ in range(2000)]
-    got = mine([t.encode() for t in texts])
+    got = mine(pa.array(texts))
+    assert [len(x) for x in mine(pa.array([None, "", " "], pa.string()))] == [0, 0, 0] and mine(pa.array([], pa.string())) == []
     assert len(got) == len(texts)
     for t, g in zip(texts, got):
         assert g.tolist() == library.encode(t, add_special_tokens=False).ids, t
@@ -350,7 +352,7 @@ def test_other_vocabularies_take_whole_texts():
     library, r = Tokenizer.from_file(path), random.Random(1)
     assert isinstance(encoder(path), TextEncoder) and isinstance(encoder(vocabulary("word_bpe_49k.json")), WordEncoder)
     texts = ODD + ["".join(r.choice("aAbé.,!' \n1²ß<|>́ ") for _ in range(30)) for _ in range(300)]
-    assert [g.tolist() for g in encoder(path)([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in encoder(path)(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_round_trip(spark, make, tmp_path):
