@@ -6,6 +6,7 @@ arguments are rewritten at any depth, in any clause and any statement.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from heronbase.errors import SqlSyntaxError
@@ -130,6 +131,56 @@ def _to_char(a: Args) -> str | None:
     return None
 
 
+#: The letters of strftime and Java's.
+STRFTIME = {"Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "f": "SSSSSS", "p": "a", "j": "DDD", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "F": "yyyy-MM-dd", "T": "HH:mm:ss"}
+
+
+def _strftime(a: Args) -> str | None:
+    if len(a) != 2 or len(a[1]) != 1 or a[1][0].kind != "string":
+        return None
+    out, plain = "", ""
+    for form, other in re.findall(r"%(.)|([^%]|%$)", a[1][0].value, re.DOTALL):
+        if form and form != "%":
+            if form not in STRFTIME:
+                raise SqlSyntaxError(f"no such letter of a date form: %{form}")
+            out, plain = out + _quoted(plain) + STRFTIME[form], ""
+        else:
+            plain += other or "%"
+    return f"date_format({spell(a[0])}, {literal(out + _quoted(plain))})"
+
+
+def _quoted(text: str) -> str:
+    """Text between the letters of a Java date form."""
+    return "'" + text.replace("'", "''") + "'" if any(c.isalpha() or c in "'%[]{}#" for c in text) else text
+
+
+def _pictured(name: str) -> Callable[[Args], str | None]:
+    """A function of a text and a date picture."""
+
+    def call(a: Args) -> str | None:
+        if len(a) == 2 and len(a[1]) == 1 and a[1][0].kind == "string":
+            return f"{name}({spell(a[0])}, {literal(date_picture(a[1][0].value))})"
+        return None
+
+    return call
+
+
+def _date_diff(a: Args) -> str | None:
+    """Boundaries of a part between two times, times of day included."""
+    if len(a) != 3:
+        return None
+    part, s, e = _part(a[0]), spell(a[1]), spell(a[2])
+    if part in SECONDS and part != "millisecond":
+        at = lambda x: f"unix_seconds(cast(date_trunc('{part}', {x}) as timestamp))"
+        return f"cast(({at(e)} - {at(s)}) div {SECONDS[part]} as bigint)"
+    return date_difference(part, s, e)
+
+
+def _split_by(a: Args) -> str | None:
+    """The separator is text, not a pattern."""
+    return f"split({spell(a[0])}, concat('\\\\Q', {spell(a[1])}, '\\\\E'))" if len(a) == 2 else None
+
+
 def _renamed(name: str) -> Callable[[Args], str | None]:
     return lambda a: f"{name}({', '.join(map(spell, a))})"
 
@@ -140,6 +191,9 @@ FUNCTIONS: dict[str, Callable[[Args], str | None]] = {
     # names that the engine behind the dialect has for what Spark calls otherwise
     "LIST_CONTAINS": _renamed("array_contains"), "LIST_SORT": _renamed("array_sort"), "LIST_DISTINCT": _renamed("array_distinct"), "LIST_VALUE": _renamed("array"), "ARRAY_LENGTH": _renamed("size"),
     "LIST": _renamed("collect_list"), "ARG_MIN": _renamed("min_by"), "ARG_MAX": _renamed("max_by"), "QUANTILE_CONT": _renamed("percentile"), "APPROX_QUANTILE": _renamed("percentile_approx"),
+    "ARRAY_CONSTRUCT": _renamed("array"), "ARRAY_CAT": _renamed("concat"), "LIST_TRANSFORM": _renamed("transform"), "LIST_FILTER": _renamed("filter"), "UNNEST": _flatten, "STRPOS": _renamed("instr"),
+    "BOOLAND_AGG": _renamed("bool_and"), "BOOLOR_AGG": _renamed("bool_or"), "DATE_FROM_PARTS": _renamed("make_date"), "EDITDISTANCE": _renamed("levenshtein"),
+    "STRFTIME": _strftime, "TO_DATE": _pictured("to_date"), "TO_TIMESTAMP": _pictured("to_timestamp"), "DATE_DIFF": _date_diff, "STRING_SPLIT": _split_by,
     "REGEXP_MATCHES": _renamed("regexp_like"), "STARTS_WITH": _renamed("startswith"), "ENDS_WITH": _renamed("endswith"),
 }
 #: Table functions over files, and the reader of each.
@@ -364,6 +418,12 @@ class Rewriter:
         i = 0
         while i < len(items):
             t = items[i]
+            if t.up == "EXCLUDE" and out and out[-1].text == "*" and i + 1 < len(items):
+                # SELECT * EXCLUDE column, or several in parentheses
+                end = closing(items, i + 1) if items[i + 1].up == "(" else i + 1
+                out += raw(f"EXCEPT ({spell(items[i + 2 : end] if items[i + 1].up == '(' else items[i + 1 : i + 2])})")
+                i = end + 1
+                continue
             call = t.kind == "word" and i + 1 < len(items) and items[i + 1].up == "(" and not (i and items[i - 1].text == ".")
             if call:
                 end = closing(items, i + 1)

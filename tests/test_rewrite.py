@@ -24,6 +24,13 @@ def flat(sql):
     ("SELECT a::NUMBER(10,2)", "SELECT a :: decimal(10,2)"),
     ("SELECT a FROM t ORDER BY a, b DESC LIMIT 1", "SELECT a FROM t ORDER BY a NULLS LAST , b DESC NULLS LAST LIMIT 1"),
     ("SELECT a FROM t ORDER BY a NULLS FIRST", "SELECT a FROM t ORDER BY a NULLS FIRST"),
+    ("SELECT a FROM t OFFSET 2 ROWS FETCH FIRST ROW ONLY", "SELECT a FROM t LIMIT 1 OFFSET 2"),
+    ("SELECT * EXCLUDE a FROM t", "SELECT * EXCEPT (a) FROM t"),
+    ("SELECT a FROM t AS x SAMPLE (10) WHERE a > 1", "SELECT a FROM t TABLESAMPLE (10 PERCENT) AS `X` WHERE a > 1"),
+    ("SELECT a FROM t USING SAMPLE 5%", "SELECT a FROM t TABLESAMPLE (5 PERCENT) AS `T`"),
+    ("SELECT a FROM t TABLESAMPLE BERNOULLI (7) y", "SELECT a FROM t TABLESAMPLE (7 PERCENT) AS `Y`"),
+    ("SELECT TO_CHAR(d, 'DD-MON-YYYY')", "SELECT date_format(d, 'dd-MMM-yyyy')"),
+    ("SELECT STRFTIME(d, '%Y week')", "SELECT date_format(d, 'yyyy\\' week\\'')"),
 ])
 def test_text(sql, expected):
     assert flat(sql) == expected
