@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from heronbase import catalogue
+from heronbase import catalogue, surface  # noqa: F401  the second adds to the first
 
 HERE = "/root/testdata/sf0.001"
 
