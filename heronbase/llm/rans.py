@@ -183,6 +183,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end: int, width: str) -> DataFra
             counts += np.bincount(np.concatenate(ids), minlength=len(counts)) if ids else 0
             counts[end] += len(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.append(x, tail).astype(width).tobytes() for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc", "ids", "counts"])
+        encode_texts.rest()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["doc", "ids", "counts"])
 
     return pick(docs, "doc_id", "text").select(doc_key().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, ids binary, counts binary")

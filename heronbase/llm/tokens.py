@@ -32,7 +32,8 @@ WORDS = {
     },
     "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
 }
-MOST_WORDS = 640_000
+#: Words that are kept at most, and those that may stay in an idle worker.
+MOST_WORDS, FEW_WORDS = 640_000, 250_000
 #: Words that normalization leaves as they are but for case: ASCII and the letters of Latin-1.
 PLAIN = re.compile(r"[!-~\u00df-\u00f6\u00f8-\u00ff]+")
 #: The vocabulary's own pre-tokenization, for such words.
@@ -52,6 +53,10 @@ def by_words(path: str) -> bool:
     return plain and not found.get("truncation") and not found.get("padding") and WORDS == {"normalizer": found["normalizer"], "pre_tokenizer": found["pre_tokenizer"], "model": model}
 
 
+def listed(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 class TextEncoder:
     """Whole texts, by the library."""
 
@@ -61,6 +66,9 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def rest(self) -> None:
+        pa.default_memory_pool().release_unused()
+
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         return [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
 
@@ -82,6 +90,12 @@ class WordEncoder:
         self.flat = np.zeros(1 << 18, self.kind)
         self._add([b""], np.empty(0, np.int64), np.zeros(1, np.int64))  # before leading and behind trailing white space
 
+    def rest(self) -> None:
+        """Lets go of most memory: a worker stays for a while when its task has ended, beside others."""
+        if len(self.index) > FEW_WORDS:
+            self.clear()
+        pa.default_memory_pool().release_unused()
+
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Takes in ``words`` with ``sizes`` of ``ids`` each."""
         n = len(self.index)
@@ -112,24 +126,23 @@ class WordEncoder:
         sizes = [np.bincount(w, minlength=len(line)) for w, line in zip(of, lines, strict=True)]
         return ids, np.concatenate(sizes) if sizes else np.empty(0, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        whole, parted, other = [], {}, []
-        for w in words:
-            if w.isalpha() and w.islower():
+    def learn(self, words: pa.Array) -> None:
+        """Takes in words that are not known yet."""
+        letters = pc.and_(pc.ascii_is_alpha(words), pc.ascii_is_lower(words))
+        ended = pc.match_substring_regex(words, "^[a-z]+[,.]$")
+        whole, other = listed(words.filter(letters)), []
+        parted = {w: (w[:-1], w[-1:]) for w in listed(words.filter(ended))}
+        for w in listed(words.filter(pc.invert(pc.or_(letters, ended)))):
+            text = w.decode().lower()
+            # special tokens are the library's to find
+            if b"<|" in w or not PLAIN.fullmatch(text):
+                other.append(w)
+                continue
+            parts = [x.encode() for x in PIECE.findall(text)]
+            if parts == [w]:
                 whole.append(w)
-            elif w[-1] in b",." and w[:-1].isalpha() and w.islower():
-                parted[w] = (w[:-1], w[-1:])
             else:
-                text = w.decode().lower()
-                # special tokens are the library's to find
-                if b"<|" in w or not PLAIN.fullmatch(text):
-                    other.append(w)
-                    continue
-                parts = [x.encode() for x in PIECE.findall(text)]
-                if parts == [w]:
-                    whole.append(w)
-                else:
-                    parted[w] = parts
+                parted[w] = parts
         known, new = self.index, dict.fromkeys(whole)
         new.update(dict.fromkeys(x for x in chain.from_iterable(parted.values()) if x not in known))
         self._add([*new], *self._encoded([*new]))
@@ -151,11 +164,11 @@ class WordEncoder:
         folded = pc.if_else(special, texts, pc.ascii_lower(texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(folded)
         words = split.flatten().dictionary_encode()
-        every = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        every = listed(words.dictionary)
         at = list(map(self.index.get, every))
         if None in at:
             missing = [i for i, x in enumerate(at) if x is None]
-            self.learn([every[i] for i in missing])
+            self.learn(words.dictionary.take(pa.array(missing)))
             for i in missing:
                 at[i] = self.index[every[i]]
         ids, size = self._gathered(np.array(at, np.int64)[words.indices.to_numpy()])
