@@ -8,9 +8,9 @@ one before, and the words.  Training reads
 at most ``rows`` labelled documents, those with the smallest hash of their id, in one
 task; scoring reads every whole text.
 
-``selected`` needs a cut on the tail probability.  Every fifth training row is set aside
-first, a model of the others scores them, and the cut lies between the score that ``KEEP``
-of the good ones among them reach and the next lower one of the others.
+``selected`` needs a cut on the tail probability.  Each of ``FOLDS`` parts of the training
+rows is scored by a model of the others; the cut lies between the score that ``KEEP`` of
+the good ones reach and the next lower one of the others.
 
 Grades are the whole numbers from 0 to the largest one among the labels that train.
 Defined cases: as for toxicity; with fewer than two grades all expected grades are that
@@ -36,7 +36,7 @@ ROWS = 16_384
 STEPS = 50_000
 GAP = 1e-3
 #: Share of rows with the wanted grade that the cut keeps, as far as training rows tell.
-KEEP = 0.99
+KEEP, FOLDS = 0.99, 5
 #: Stands for the cut where a model travels as rows.
 CUT = -(2**31)
 
@@ -110,13 +110,16 @@ def fitted(seen: list[tuple[np.ndarray, int]], grades: int, steps: int) -> Cumul
 
 
 def cut_of(seen: list[tuple[np.ndarray, int]], grades: int, steps: int, tail: int) -> float:
-    """The cut that rows set aside suggest; 0.5 if they or the others lack one of the two kinds."""
-    aside, rest = seen[::5], [x for i, x in enumerate(seen) if i % 5]
-    if not 0 < tail < grades or len({y >= tail for _, y in aside}) < 2 or len({y >= tail for _, y in rest}) < 2:
+    """The cut that rows suggest whose fold a model of the other folds scores; 0.5 where a fold leaves one kind alone."""
+    if not 0 < tail < grades or len(seen) < 2 * FOLDS:
         return 0.5
-    model = fitted(rest, grades, steps)
-    p = np.array([1 - model.below(model.w[at].sum())[tail] for at, _ in aside])
-    good = np.array([y >= tail for _, y in aside])
+    p, good = np.zeros(len(seen)), np.array([y >= tail for _, y in seen])
+    for k in range(FOLDS):
+        rest = [x for i, x in enumerate(seen) if i % FOLDS != k]
+        if len({y >= tail for _, y in rest}) < 2:
+            return 0.5
+        model = fitted(rest, grades, steps)
+        p[k::FOLDS] = [1 - model.below(model.w[at].sum())[tail] for at, _ in seen[k::FOLDS]]
     least = float(np.sort(p[good])[int((1 - KEEP) * good.sum())])
     return (least + float(p[~good & (p < least)].max(initial=0.0))) / 2
 
