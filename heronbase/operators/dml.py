@@ -179,9 +179,9 @@ class Writer:
         return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"NULL in column {column.name}")).cast("void"))
 
     def _append(self, key: Key, table: Table, df: DataFrame) -> int:
-        files = self.view.written(key, df)
+        files, n = self.view.counted(key, df)
         self.view.put(key, table, replace(table, files=table.files + files))
-        return self.spark.read.parquet(*files).count() if files else 0
+        return n
 
     def _place(self, table: Table) -> DataFrame:
         """The table's rows with the file and row they stand in."""
@@ -211,9 +211,9 @@ class Writer:
             names, at = [p[-1].name for p in split(items[at + 1 : end])], end + 1
         df = self._stored(table, self.run(items[at:]), names)
         if overwrite:
-            files = self.view.written(key, df)
+            files, n = self.view.counted(key, df)
             self.view.put(key, table, replace(table, files=files))
-            return Changed(inserted=self.spark.read.parquet(*files).count() if files else 0)
+            return Changed(inserted=n)
         return Changed(inserted=self._append(key, table, df))
 
     def insert_rows(self, key: Key, rows: DataFrame, names: list[str] | None = None) -> int:
@@ -365,10 +365,11 @@ class Writer:
                     old = f"`{m.alias}`.`{c.name}`"
                     values.append(f"CASE __action {' '.join(whens)} ELSE {old} END AS `{c.name}`" if whens else f"{old} AS `{c.name}`")
                 acted = stack.enter_context(self._kept(key, self._acted(t, s, on, action, values)))
-                if acted.groupBy("__file", "__row").count().where("count > 1").head(1):
-                    raise DuplicateMatch("more than one source row changes the same target row")
                 deletes = [i for i, w in enumerate(matched) if w.action == "DELETE"]
-                by_file = acted.groupBy("__file").agg(F.count_if(F.col("__action").isin(deletes)).alias("gone"), F.count(F.lit(1)).alias("n")).collect()
+                by_row = acted.groupBy("__file", "__row").agg(F.count(F.lit(1)).alias("times"), F.count_if(F.col("__action").isin(deletes)).alias("gone"))
+                by_file = by_row.groupBy("__file").agg(F.max("times").alias("times"), F.sum("gone").alias("gone"), F.count(F.lit(1)).alias("n")).collect()
+                if any(r.times > 1 for r in by_file):
+                    raise DuplicateMatch("more than one source row changes the same target row")
                 out.deleted = sum(r.gone for r in by_file)
                 out.updated = sum(r.n for r in by_file) - out.deleted
                 if by_file:
@@ -383,8 +384,7 @@ class Writer:
                     df = self.spark.sql(f"SELECT {values} FROM {fresh} AS `{m.source_alias}` WHERE ({action}) = {i}")
                     one = self._stored(table, df, [n for n, _ in w.assign] or None)
                     whole = one if whole is None else whole.union(one)
-                added = self.view.written(key, whole)
-                out.inserted = self.spark.read.parquet(*added).count() if added else 0
+                added, out.inserted = self.view.counted(key, whole)
             if after is not table or added:
                 self.view.put(key, table, replace(after, files=after.files + added))
             return out

@@ -21,7 +21,8 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from heronbase.errors import AlreadyExists, Conflict, InvalidValue, NotFound
@@ -402,6 +403,12 @@ class View:
         df.write.parquet(self.catalog.store.url(*part))
         return tuple(self.catalog.store.url(*part, name) for name, size in self.catalog.store.files(*part) if name.endswith(".parquet"))
 
+    def counted(self, key: Key, df: DataFrame) -> tuple[tuple[str, ...], int]:
+        """The same, and the number of rows, counted as they are written."""
+        seen = Observation()
+        files = self.written(key, df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return files, seen.get["n"]
+
     def comment(self, key: Key, comment: str) -> None:
         before = self.get(key)
         self.put(key, before, replace(before, comment=comment))

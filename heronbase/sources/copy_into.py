@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,7 +204,9 @@ class Loader:
                     # every value is computed, so every cast is tried
                     out.rows_loaded += df.select(F.to_json(F.struct("*")).alias("row")).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("row"))).first().n
                 else:
-                    added += self.view.written(key, df)
+                    new, n = self.view.counted(key, df)
+                    added += new
+                    out.rows_loaded += n
                 done += group
             except Exception as e:
                 if copy.on_error.startswith("ABORT"):
@@ -212,7 +214,7 @@ class Loader:
                 out.errors.append(f"{group[0]}: {wrap(e)}")
         out.files_loaded = len(done)
         if added:
-            out.rows_loaded = out.rows_inserted = self.spark.read.parquet(*added).count()
+            out.rows_inserted = out.rows_loaded
             self.view.put(key, table, replace(table, files=table.files + added))
         if copy.purge and not copy.validation_mode:
             for f in done:
@@ -289,7 +291,8 @@ class Loader:
     def unload(self, copy: Copy, context: tuple[str, str]) -> CopyResult:
         """Writes a query's rows as files below the stage's path."""
         where = self._where(copy.stage, context)
-        df = self.writer.run(copy.unload)
+        seen = Observation()  # rows are counted as they are written
+        df = self.writer.run(copy.unload).observe(seen, F.count(F.lit(1)).alias("n"))
         at = f"{self.stages.directory(*where)}/{copy.path or 'data'}"
         if copy.format.type == "PARQUET":
             df.write.parquet(at)
@@ -297,5 +300,4 @@ class Loader:
             df.write.json(at)
         else:
             df.write.option("sep", copy.format.field_delimiter[:1]).option("header", copy.format.skip_header == 1).csv(at)
-        n = df.count()
-        return CopyResult(rows_loaded=n, rows_inserted=0, files_loaded=len([f for f, _ in self.stages.files(*where, below=copy.path or "data") if not f.endswith("_SUCCESS")]))
+        return CopyResult(rows_loaded=seen.get["n"], rows_inserted=0, files_loaded=len([f for f, _ in self.stages.files(*where, below=copy.path or "data") if not f.endswith("_SUCCESS")]))

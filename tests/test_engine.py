@@ -71,6 +71,18 @@ def test_a_condition_is_computed_once(session, rows):
     assert rows("SELECT COUNT(*) FROM t") == [(2000 - gone,)]
 
 
+def test_nothing_is_counted(session, rows):
+    session.execute("CREATE TABLE t AS SELECT id FROM RANGE(5) WHERE false")
+    assert session.execute("INSERT INTO t SELECT id FROM RANGE(5) WHERE id > 9").affected == 0
+    assert session.execute("INSERT INTO t SELECT id FROM t").affected == 0
+    assert session.execute("INSERT OVERWRITE t SELECT id FROM RANGE(3) LIMIT 0").affected == 0
+    assert session.execute("UPDATE t SET id = 1").affected == 0 and session.execute("DELETE FROM t").affected == 0
+    assert session.execute("MERGE INTO t USING (SELECT id FROM RANGE(2) WHERE false) s ON t.id = s.id WHEN NOT MATCHED THEN INSERT VALUES (s.id)").affected == 0
+    session.execute("CREATE STAGE st")
+    assert session.execute("COPY INTO @st/none FROM t FILE_FORMAT = (TYPE = PARQUET)").affected == 0
+    assert rows("SELECT COUNT(*) FROM t") == [(0,)]
+
+
 def test_only_touched_files_are_rewritten(shop):
     for i in (10, 11, 12):
         shop.execute(f"INSERT INTO customers (customer_id, name) VALUES ({i}, 'n{i}')")
