@@ -34,7 +34,7 @@ from heronbase.llm.common import materialize
 from heronbase.llm.pieces import ANSWERS, Kind, answered, applied, covered, documents, repeated, unpack, within
 
 #: Words in the automaton of one broadcast shard.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 
 
 class Automaton:
@@ -221,8 +221,8 @@ def against(docs: DataFrame, reference: DataFrame, width: int = 13, shard_words:
     """Removes from ``docs`` every word in a run of ``width`` words that a text of ``reference`` holds: columns as of ``deduplicate``.
 
     Tasks build the automata of the reference's shards.  One at a time, a shard's automaton is
-    fetched (``shard_words`` words, some 300 bytes each, whatever the reference's size) and
-    broadcast, all documents stream through it, what it finds is written, and the broadcast
+    fetched (``shard_words`` words, some 35 bytes each, whatever the reference's size; some
+    320 each in a worker's memory) and broadcast, all documents stream through it, what it finds is written, and the broadcast
     goes.  So the work is that of all documents for each shard: this is for references of
     a fixed size; a corpus against itself is ``deduplicate``.
     """
