@@ -12,6 +12,7 @@ with any other file the library encodes whole texts.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import re
 from itertools import chain
@@ -53,6 +54,13 @@ def by_words(path: str) -> bool:
     return plain and not found.get("truncation") and not found.get("padding") and WORDS == {"normalizer": found["normalizer"], "pre_tokenizer": found["pre_tokenizer"], "model": model}
 
 
+def give_back() -> None:
+    """Returns free memory to the machine, as far as the allocators can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def listed(words: pa.Array) -> list[bytes]:
     return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
@@ -67,7 +75,7 @@ class TextEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def rest(self) -> None:
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         return [np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
@@ -94,7 +102,7 @@ class WordEncoder:
         """Lets go of most memory: a worker stays for a while when its task has ended, beside others."""
         if len(self.index) > FEW_WORDS:
             self.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Takes in ``words`` with ``sizes`` of ``ids`` each."""
